@@ -1,0 +1,101 @@
+"""Near-duplicate records by pigeonhole blocks over sparse fingerprints, with an exact Hamming check.
+
+A record's fingerprint is the bit vector, over all 3-word runs there are, with a one for each run it holds; stored are
+the positions of the ones. Two fingerprints A and B have Jaccard similarity ≥ 0.6 exactly if their Hamming distance
+is at most (|A| + |B|) / 4, and then each lacks at most k = |A| − ⌈0.6 |A|⌉ of A's ones. Split k + 1 one-bit blocks off
+A: by the pigeonhole principle one of them agrees. Taking the rarest ones in both records keeps the principle (the
+first common one in that order stands in both prefixes) and keeps blocks small. Ones that no other record has can
+never agree, so they use up k without a block, and most records of a varied corpus drop out there. No link is missed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.operators.components import connected_components
+from siltstone.plans.staging import Stage
+
+RUN = 3
+NUMERATOR, DENOMINATOR = 3, 5  # similarity of at least 3/5
+
+
+def words(text: Column) -> Column:
+    """The maximal runs of a-z and 0-9 in the lower-cased text."""
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+
+
+def run_hashes(tokens: Column, n: int = RUN) -> Column:
+    """The set of 64-bit hashes of n consecutive words; empty for fewer words."""
+    each = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)]))
+    return F.when(F.size(tokens) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
+
+def fingerprints(accepted: DataFrame) -> DataFrame:
+    """(id, fp, n, runs): one row per non-null id; `fp` identifies the set of runs, `n` is its size."""
+    last = F.max_by(F.struct("instruction", "answer"), "received_at").alias("r")
+    one = accepted.where("id is not null").groupBy("id").agg(last)
+    text = F.concat(F.coalesce("r.instruction", F.lit("")), F.lit("\n"), F.coalesce("r.answer", F.lit("")))
+    sets = one.select("id", words(text).alias("w")).select("id", F.array_sort(run_hashes(F.col("w"))).alias("runs"))
+    return sets.select("id", F.xxhash64(F.size("runs"), "runs").alias("fp"), F.size("runs").alias("n"), "runs").where("n > 0")
+
+
+def _least_common(n: Column) -> Column:
+    """⌈0.6 n⌉: the ones of a fingerprint of size n that any partner must have."""
+    return F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR)
+
+
+def near_pairs(stage: Stage, classes: DataFrame) -> DataFrame:
+    """(fp_a, fp_b) with fp_a < fp_b, of different classes (fp, n, runs) whose similarity is at least 0.6."""
+    ones = classes.select("fp", "n", F.explode("runs").alias("run"))
+    often = ones.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = ones.join(often, "run")
+    # Per record, the shared ones, rarest first. A record has few ones, so sorting its array is local work.
+    own = shared.groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "run"))).alias("common"))
+    spare = F.col("n") - _least_common(F.col("n")) - (F.col("n") - F.size("common"))
+    kept = own.withColumn("spare", spare).where("spare >= 0")
+    blocks = stage.put(kept.select("fp", "n", F.explode(F.slice("common", F.lit(1), (F.col("spare") + 1).cast("int"))).alias("b")).select("fp", "n", F.col("b.run").alias("run")), "blocks")
+    a, b = blocks.select("run", F.col("fp").alias("fp_a"), F.col("n").alias("n_a")), blocks.select("run", F.col("fp").alias("fp_b"), F.col("n").alias("n_b"))
+    near = F.least("n_a", "n_b") * DENOMINATOR >= F.greatest("n_a", "n_b") * NUMERATOR
+    candidates = stage.put(a.join(b, "run").where(F.col("fp_a") < F.col("fp_b")).where(near).select("fp_a", "fp_b").distinct(), "candidates")
+    left = classes.select(F.col("fp").alias("fp_a"), F.col("n").alias("n_a"), F.col("runs").alias("r_a"))
+    right = classes.select(F.col("fp").alias("fp_b"), F.col("n").alias("n_b"), F.col("runs").alias("r_b"))
+    both = candidates.join(left, "fp_a").join(right, "fp_b")
+    hamming = F.col("n_a") + F.col("n_b") - 2 * F.size(F.array_intersect("r_a", "r_b"))
+    return both.where(hamming * 4 <= F.col("n_a") + F.col("n_b")).select("fp_a", "fp_b")
+
+
+def similar(spark: SparkSession, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (id, fp) and pairs of classes (fp_a, fp_b); records with equal sets of runs form one class.
+
+    Null or empty texts have no runs and no partner; repeated rows of an id count once (the latest).
+    """
+    stage = Stage(spark, "neardup")
+    prints = stage.put(fingerprints(accepted), "prints")
+    classes = stage.put(prints.groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("runs").alias("runs")), "classes")
+    return prints.select("id", "fp"), stage.put(near_pairs(stage, classes), "pairs")
+
+
+def similar_ids(spark: SparkSession, accepted: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: every two ids whose similarity is at least 0.6, copies included."""
+    members, pairs = similar(spark, accepted)
+    one, two = members.select(F.col("fp").alias("fp_a"), F.col("id").alias("x")), members.select(F.col("fp").alias("fp_b"), F.col("id").alias("y"))
+    across = pairs.join(one, "fp_a").join(two, "fp_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    many = members.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp")
+    copies = members.join(many, "fp")
+    within = copies.select("fp", F.col("id").alias("id_a")).join(copies.select("fp", F.col("id").alias("id_b")), "fp").where("id_a < id_b").select("id_a", "id_b")
+    return across.union(within)
+
+
+def similar_groups(spark: SparkSession, accepted: DataFrame) -> DataFrame:
+    """(id, copies, links, group_id): one row per id that has a copy or a link; links count other classes, copies the
+    ids of its own class, group_id is the least id reachable over links and copies."""
+    members, pairs = similar(spark, accepted)
+    links = pairs.select(F.col("fp_a").alias("fp")).union(pairs.select(F.col("fp_b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
+    parts = connected_components(spark, pairs.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")))
+    sizes = members.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"))
+    info = sizes.join(links, "fp", "left").where("copies > 1 or links is not null").join(parts.withColumnRenamed("node", "fp"), "fp", "left")
+    info = info.select("fp", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "fp").alias("component"))
+    rows = Stage(spark, "groups").put(members.join(info, "fp"), "rows")
+    least = rows.groupBy("component").agg(F.min("id").alias("group_id"))
+    return rows.join(least, "component").select("id", "copies", "links", "group_id")

@@ -1,0 +1,104 @@
+"""Queries of the training-data operators in the core, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.operators import components, mixing, neardup, sampling
+from siltstone.sources.tables import table
+
+SLICE, MANIFEST, ACCEPTED, TARGETS = "build_stage_a_250k_slice", "stage_a_sources_v1_candidate", "phase3_5b_batch07_accepted", "phase3_5b_sample_targets"
+SLICE_LINKS = ("record_id", "family_id", "normalized_sha256")
+MIX_COLUMNS = ("record_id", "source_id", "actual_token_count")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return components.linked_families(spark, table(spark, d, SLICE, *SLICE_LINKS))
+
+
+def p2_splits(spark: SparkSession, d: str) -> DataFrame:
+    return components.grouped_splits(spark, table(spark, d, SLICE, *SLICE_LINKS))
+
+
+def p2_split_shares(spark: SparkSession, d: str) -> DataFrame:
+    rows = p2_splits(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("component").alias("components"))
+    return rows.crossJoin(rows.agg(F.sum("records").alias("all"))).select("split", "records", "components", (F.col("records") / F.col("all")).alias("share"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    report = sampling.cell_report(spark, table(spark, d, ACCEPTED, "id", "received_at", *sampling.LEVELS), table(spark, d, TARGETS))
+    return report.where("supply < wanted").select(*sampling.LEVELS).distinct()
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.cell_report(spark, table(spark, d, ACCEPTED, "id", "received_at", *sampling.LEVELS), table(spark, d, TARGETS))
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.sample_by_targets(spark, table(spark, d, ACCEPTED, "id", "received_at", *sampling.LEVELS), table(spark, d, TARGETS))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_ids(spark, table(spark, d, ACCEPTED, "id", "instruction", "answer", "received_at"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_groups(spark, table(spark, d, ACCEPTED, "id", "instruction", "answer", "received_at"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    plan = mixing.mix_plan(spark, table(spark, d, SLICE, *MIX_COLUMNS), table(spark, d, MANIFEST))
+    return plan.where("wanted > cap").select("source_id")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(spark, table(spark, d, SLICE, *MIX_COLUMNS), table(spark, d, MANIFEST))
+
+
+def p6_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(spark, table(spark, d, SLICE, *MIX_COLUMNS), table(spark, d, MANIFEST))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p2_found, p2_splits, p2_split_shares, p4_found, p4_report, p4_sample, p5_found, p5_groups, p6_found, p6_report, p6_mix)
+}
+
+_CELL = "lower(trim(language, E' \\t\\n\\r')) AS l, lower(trim(category, E' \\t\\n\\r')) AS c, lower(trim(difficulty, E' \\t\\n\\r')) AS d"
+_KEY = r"""lower(regexp_replace(family_id, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'))"""
+
+SQL: dict[str, str] = {
+    "p2_found": rf"""
+WITH RECURSIVE t AS (SELECT family_id, record_id, normalized_sha256, {_KEY} AS k FROM build_stage_a_250k_slice WHERE family_id IS NOT NULL),
+p AS (SELECT *, regexp_extract(k, '([^:/|]*)$', 1) AS last, regexp_replace(k, '[^:/|]*$', '') AS head FROM t),
+n AS (SELECT family_id, record_id, normalized_sha256, regexp_replace(head || regexp_replace(regexp_replace(last, '^[^\p{{L}}\p{{N}}]*tests?[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}]+tests?[^\p{{L}}\p{{N}}]*$', ''), '[^\p{{L}}\p{{N}}]+', '', 'g') AS f FROM p),
+keys AS (SELECT DISTINCT f, 'r' || record_id AS k FROM n WHERE record_id IS NOT NULL UNION SELECT DISTINCT f, 's' || normalized_sha256 FROM n WHERE normalized_sha256 IS NOT NULL),
+many AS (SELECT k FROM keys GROUP BY k HAVING count(*) > 1),
+e AS (SELECT DISTINCT a.f AS u, b.f AS v FROM keys a JOIN keys b USING (k) WHERE k IN (SELECT k FROM many) AND a.f <> b.f),
+reach(u, v) AS (SELECT u, v FROM e UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u),
+comp AS (SELECT u AS f, least(u, min(v)) AS c FROM reach GROUP BY u),
+m AS (SELECT DISTINCT n.family_id, coalesce(comp.c, n.f) AS c FROM n LEFT JOIN comp ON n.f = comp.f)
+SELECT a.family_id AS family_a, b.family_id AS family_b FROM m a JOIN m b ON a.c = b.c AND a.family_id < b.family_id""",
+    "p4_found": f"""
+WITH a AS (SELECT id, arg_max({{'l': lower(trim(language)), 'c': lower(trim(category)), 'd': lower(trim(difficulty))}}, received_at) AS x FROM phase3_5b_batch07_accepted WHERE id IS NOT NULL GROUP BY id),
+n AS (SELECT x.l AS l, x.c AS c, x.d AS d, count(*) AS n FROM a GROUP BY ALL),
+s AS (SELECT count(*) // 5 AS s FROM a)
+SELECT DISTINCT t.language, t.category, t.difficulty FROM phase3_5b_sample_targets t CROSS JOIN s
+LEFT JOIN n ON lower(trim(t.language)) = n.l AND lower(trim(t.category)) = n.c AND lower(trim(t.difficulty)) = n.d
+WHERE coalesce(n.n, 0) < greatest(coalesce(t.target_share, 0) * s.s, coalesce(t.min_records, 0))""",
+    "p5_found": """
+WITH r AS (SELECT id, regexp_extract_all(lower(arg_max(coalesce(instruction, '') || chr(10) || coalesce(answer, ''), received_at)), '[a-z0-9]+') AS w
+  FROM phase3_5b_batch07_accepted WHERE id IS NOT NULL GROUP BY id),
+g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM r, range(1, len(w) - 1) t(i)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+c AS (SELECT a.id AS x, b.id AS y, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT x AS id_a, y AS id_b FROM c JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE i * 5 >= (p.n + q.n - i) * 3""",
+    "p6_found": """
+WITH m AS (SELECT lower(trim(source_id)) AS s, arg_max({'t': target_tokens, 'r': max_repeats}, recorded_at) AS x FROM stage_a_sources_v1_candidate WHERE source_id IS NOT NULL GROUP BY 1),
+r AS (SELECT record_id, max(lower(trim(source_id))) AS s, max(coalesce(actual_token_count, 0)) AS n FROM build_stage_a_250k_slice WHERE source_id IS NOT NULL AND record_id IS NOT NULL GROUP BY 1),
+u AS (SELECT s, sum(n) AS supply FROM r GROUP BY 1),
+j AS (SELECT m.s, x.t AS t, x.r AS r, coalesce(supply, 0) AS supply FROM m LEFT JOIN u USING (s) WHERE x.t IS NOT NULL)
+SELECT s AS source_id FROM j WHERE t * (SELECT sum(supply) FROM j) / (SELECT sum(t) FROM j) > r * supply""",
+}
