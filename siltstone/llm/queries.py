@@ -1,2 +1,77 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the language-model text operators, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import leaks, packing, tokens
+from siltstone.sources.tables import table
+
+INVENTORY, HELDOUT = "phase3_5b_record_inventory", "phase3_5b_heldout_v1"
+INVENTORY_COLUMNS = ("record_id", "audited_at", "full_record_tokens", "rendered", "source_kind", "language", "category")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.wrong_counts(table(spark, d, INVENTORY, *INVENTORY_COLUMNS))
+
+
+def p3_budget(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_budget(table(spark, d, INVENTORY, *INVENTORY_COLUMNS))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.split_texts(spark, table(spark, d, "documents", "doc_id", "text"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(spark, table(spark, d, "documents", "doc_id", "text"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.container_fill(spark, table(spark, d, "documents", "doc_id", "text"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks.leaks(spark, table(spark, d, "documents", "doc_id", "text"), table(spark, d, HELDOUT, "id", "prompt"))
+    return found.select("doc_id", "eval_id").distinct()
+
+
+def p8_matches(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(spark, table(spark, d, "documents", "doc_id", "text"), table(spark, d, HELDOUT, "id", "prompt"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.clean_documents(spark, table(spark, d, "documents", "doc_id", "text"), table(spark, d, HELDOUT, "id", "prompt")).select("doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p3_found, p3_budget, p7_found, p7_containers, p7_fill, p8_found, p8_matches, p8_clean)
+}
+
+
+
+def _count(column: str) -> str:
+    return f"len(regexp_extract_all(coalesce({column}, ''), '{tokens.LEXICAL}'))"
+
+
+_LATEST = f"""
+WITH l AS (SELECT record_id, max({{'at': audited_at, 'stated': full_record_tokens, 'n': {_count("rendered")}, 'source_kind': lower(trim(source_kind)), 'language': lower(trim(language)), 'category': lower(trim(category))}}) AS x
+  FROM {INVENTORY} WHERE record_id IS NOT NULL GROUP BY record_id)"""
+_RUNS = """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT id, regexp_extract_all(lower(prompt), '[a-z0-9]+') AS w FROM phase3_5b_heldout_v1 WHERE prompt IS NOT NULL),
+er AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS r FROM e, range(1, len(w) - 3) t(i)),
+dr AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS r FROM w, range(1, len(w) - 3) t(i)),
+n AS (SELECT id, count(*) AS n FROM er GROUP BY id),
+f AS (SELECT doc_id, id AS eval_id, count(*) AS runs, any_value(n.n) AS n FROM dr JOIN er USING (r) JOIN n USING (id) GROUP BY doc_id, id)"""
+
+SQL: dict[str, str] = {
+    "p3_found": _LATEST + " SELECT record_id FROM l WHERE x.stated IS NULL OR abs(x.stated - x.n) * 10 > x.n",
+    "p3_budget": _LATEST + " SELECT x.source_kind AS source_kind, x.language AS language, x.category AS category, count(*) AS records, sum(x.n)::BIGINT AS tokens, sum(x.stated)::BIGINT AS stated_tokens FROM l GROUP BY 1, 2, 3",
+    "p7_found": "SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL AND " + _count("text") + " > 2048",
+    "p8_found": _RUNS + " SELECT doc_id, eval_id FROM f WHERE runs >= 8 AND runs * 100 >= n * 35",
+    "p8_clean": _RUNS + " SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f WHERE runs >= 8 AND runs * 100 >= n * 35)",
+}
