@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import leaks, packing, tokens
+from siltstone.llm import junk, leaks, packing, tokens
 from siltstone.sources.tables import table
 
 INVENTORY, HELDOUT = "phase3_5b_record_inventory", "phase3_5b_heldout_v1"
@@ -47,8 +47,16 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.clean_documents(spark, table(spark, d, "documents", "doc_id", "text"), table(spark, d, HELDOUT, "id", "prompt")).select("doc_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return junk.junk_pages(spark, table(spark, d, "documents", "doc_id", "text", "source"))
+
+
+def p9_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return junk.page_evidence(spark, table(spark, d, "documents", "doc_id", "text", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_budget, p7_found, p7_containers, p7_fill, p8_found, p8_matches, p8_clean)
+    f.__name__: f for f in (p3_found, p3_budget, p7_found, p7_containers, p7_fill, p8_found, p8_matches, p8_clean, p9_found, p9_evidence)
 }
 
 
