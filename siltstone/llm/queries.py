@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import junk, leaks, packing, tokens
+from siltstone.llm import junk, leaks, packing, pairs, tokens
 from siltstone.sources.tables import table
 
-INVENTORY, HELDOUT = "phase3_5b_record_inventory", "phase3_5b_heldout_v1"
+INVENTORY, HELDOUT, ACCEPTED = "phase3_5b_record_inventory", "phase3_5b_heldout_v1", "phase3_5b_batch07_accepted"
+PAIR_COLUMNS = ("id", "received_at", "instruction", "answer", "bad_code")
 INVENTORY_COLUMNS = ("record_id", "audited_at", "full_record_tokens", "rendered", "source_kind", "language", "category")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(spark, table(spark, d, ACCEPTED, *PAIR_COLUMNS))
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defect_counts(spark, table(spark, d, ACCEPTED, *PAIR_COLUMNS))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return tokens.wrong_counts(table(spark, d, INVENTORY, *INVENTORY_COLUMNS))
 
@@ -56,7 +65,7 @@ def p9_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_budget, p7_found, p7_containers, p7_fill, p8_found, p8_matches, p8_clean, p9_found, p9_evidence)
+    f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_budget, p7_found, p7_containers, p7_fill, p8_found, p8_matches, p8_clean, p9_found, p9_evidence)
 }
 
 
