@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import window_hashes
 from siltstone.operators.components import connected_components
 from siltstone.plans.staging import Stage
 
@@ -25,18 +26,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def run_hashes(tokens: Column, n: int = RUN) -> Column:
-    """The set of 64-bit hashes of n consecutive words; empty for fewer words."""
-    each = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)]))
-    return F.when(F.size(tokens) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
-
-
 def fingerprints(accepted: DataFrame) -> DataFrame:
     """(id, fp, n, runs): one row per non-null id; `fp` identifies the set of runs, `n` is its size."""
     last = F.max_by(F.struct("instruction", "answer"), "received_at").alias("r")
     one = accepted.where("id is not null").groupBy("id").agg(last)
     text = F.concat(F.coalesce("r.instruction", F.lit("")), F.lit("\n"), F.coalesce("r.answer", F.lit("")))
-    sets = one.select("id", words(text).alias("w")).select("id", F.array_sort(run_hashes(F.col("w"))).alias("runs"))
+    sets = one.select("id", words(text).alias("w")).select("id", F.array_sort(window_hashes(F.col("w"), RUN)).alias("runs"))
     return sets.select("id", F.xxhash64(F.size("runs"), "runs").alias("fp"), F.size("runs").alias("n"), "runs").where("n > 0")
 
 
