@@ -130,7 +130,7 @@ def path_reason(path: str | Column, extra_parts=(), allowed_parts=(), extra_name
     parts = F.filter(F.split(F.lower(p), "/"), lambda x: x != "")
     refused = sorted((set(PATH_PARTS) | {x.lower() for x in extra_parts}) - {x.lower() for x in allowed_parts})
     bad = F.get(F.filter(parts, lambda x: x.isin(refused)), F.lit(0))
-    name = F.element_at(parts, -1)
+    name = F.try_element_at(parts, F.lit(-1))
     out = F.when(bad.isNotNull(), F.concat(F.lit("path marker rejected: "), bad))
     out = out.when(name.isin(sorted(set(FILE_NAMES) | {x.lower() for x in extra_names})), F.concat(F.lit("low-value filename rejected: "), name))
     for x in patterns:

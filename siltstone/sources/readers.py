@@ -161,7 +161,7 @@ def code_files(spark: SparkSession, root: str, extensions: tuple[str, ...], most
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     p = F.col("path")
     parts = F.split(p, "/")
-    name = F.lower(F.element_at(parts, -1))
+    name = F.lower(F.try_element_at(parts, F.lit(-1)))
     state = F.when(~R.suffix(p).isin(*extensions), "bad_extension")
     state = state.when(R.matches_any(p, [f"*{g}" for g in ignore]), "ignored") if ignore else state
     skip = F.arrays_overlap(parts, F.array(*[F.lit(x) for x in SKIPPED_FOLDERS])) | name.isin("package-lock.json", "pnpm-lock.yaml", "yarn.lock", "poetry.lock", "cargo.lock") | (F.col("length") > most_bytes)
