@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import markup as M
 from siltstone.functions import rules as R
 from siltstone.functions import text as T
+from siltstone.functions.fingerprint import simhash64
 from siltstone.operators.components import connected_components
 from siltstone.plans.corpus import DOCS, docs
 from siltstone.plans.staging import Stage
@@ -206,6 +207,11 @@ def owner_dedup(spark, d):
     return rows.select("doc_id", "h").join(judged, "h").select("doc_id", F.when(copy, "reject").otherwise(F.col("v")).alias("verdict"), F.when(copy & (F.col("v") == "keep"), F.col("head")).otherwise(F.col("of")).alias("of"))
 
 
+def doc_simhash(spark, d):
+    """(doc_id, simhash64) of each text, as 16 hex digits."""
+    return docs(spark, d, "text").select("doc_id", simhash64("text").alias("simhash64"))
+
+
 _T = T.sql_strip("text")
 _K = lambda c: f"regexp_extract_all({c}, '{T.LEXICAL}')"
 _CHARS = lambda c, p: f"(length({c}) - length(regexp_replace({c}, '{p}', '', 'g')))"
@@ -228,4 +234,4 @@ SQL = {
     "leak_findings": _LEAKS + " SELECT * FROM f WHERE severity IS NOT NULL",
     "leak_free": _LEAKS + f" SELECT doc_id FROM {DOCS} WHERE doc_id NOT IN (SELECT doc_id FROM f WHERE severity IS NOT NULL)",
 }
-QUERIES = {k: globals()[k] for k in SQL} | {f.__name__: f for f in (markup_segments, page_reasons, bpe_profile, owner_dedup)}
+QUERIES = {k: globals()[k] for k in SQL} | {f.__name__: f for f in (markup_segments, page_reasons, bpe_profile, owner_dedup, doc_simhash)}

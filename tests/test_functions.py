@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import code, markup
 from siltstone.functions import rules as R
 from siltstone.functions import text as T
+from siltstone.functions.fingerprint import answer_mask, simhash64
 
 TEXTS = [
     "", " ", "A  b\tC\n\nd", "  x\x1cy\x85z  ", "em space\xa0x", "1.5 + x_1 == 3.\n", "\r\nmixed\r\n\nlines\r", "id 123e4567-e89b-12d3-a456-426614174000 at deadbeef99 0x1F 12.50", "İstanbul ß é٣4", "same\nsame\nsame\nother",
@@ -99,3 +100,19 @@ def test_structure():
     assert code.signature(a, "python") == code.signature(b, "python") != code.signature("def g(y):\n    return y - 2", "python")
     assert code.signature("select a from b where c = 'x' -- n", "sql") == code.signature("SELECT q FROM z WHERE w = 'longer'", "sql")
     assert code.signature("def broken(:", "python") and code.signature("  ", "python") == ""
+
+
+def test_simhash_and_mask(spark):
+    import hashlib
+
+    def plain(text):
+        tokens = [t.lower() for t in re.findall(r"[A-Za-z_][A-Za-z0-9_]*|\d+(?:\.\d+)?|[^\s]", text)]
+        if not tokens:
+            return "0" * 16
+        hashes = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") for t in tokens]
+        return f"{sum(1 << b for b in range(64) if sum(1 if h >> b & 1 else -1 for h in hashes) >= 0):016x}"
+
+    texts = ["", "a", "a a b", "The quick (brown) fox 1.5 times", "x y z " * 40]
+    assert col(spark, simhash64("t"), texts) == [plain(t) for t in texts]
+    df = spark.createDataFrame([([5, 1, 7, 8, 2, 9],), ([5, 1, 7],), ([2, 1, 2, 9],), ([],)], "ids array<int>")
+    assert [r[0] for r in df.select(answer_mask(F.col("ids"), 1, 2)).collect()] == [[0, 0, 1, 1, 1, 1], None, [0, 0, 1, 1], None]
