@@ -12,7 +12,6 @@ from siltstone.functions import markup as M
 from siltstone.functions import rules as R
 from siltstone.functions import text as T
 from siltstone.functions.fingerprint import simhash64
-from siltstone.operators.components import connected_components
 from siltstone.plans.corpus import DOCS, docs
 from siltstone.plans.staging import Stage
 from siltstone.sources.tables import label
@@ -165,12 +164,41 @@ def bpe_profile(spark, d, path: str = TOKENIZERS, name: str = "byte_bpe_50k.json
     return sums.join(used, sums["source"].eqNullSafe(used["source"])).select(sums["source"], "texts", "bytes", "tokens", "failures", "used_tokens", F.round(F.col("bytes") / F.col("tokens"), 6).alias("bytes_per_token"))
 
 
+def settle_owners(spark, common, links):
+    """(id, of): texts whose runs an earlier kept text owns to 86 % or more, and that owner.
+
+    common: (id, n, run), the runs that more than one text holds; links: (u, v), each text with an earlier one that holds
+    86 % of its runs. The owner of a run is the least kept text that holds it, of all texts. Texts without a link are
+    always kept, so of those only the least per run counts. The verdicts of the linked ones are computed again from
+    the last ones until none changes; each round settles at least the least unsettled text, so it ends with the
+    result of the ordered rule.
+    """
+    stage = Stage(spark, "settle")
+    able = stage.put(links.select(F.col("u").alias("id")).distinct(), "able")
+    held = common.join(able, "id").select("id", "n", "run")
+    free = common.join(held.select("run").distinct(), "run", "left_semi").join(able, "id", "left_anti").groupBy("run").agg(F.min("id").alias("free"))
+    held = stage.put(held.join(free, "run", "left"), "held")
+    out, name, before = able, "able", None
+    turn = 0
+    while True:
+        sign = tuple(out.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("id")), F.sum(F.xxhash64(F.lit(7), "id").cast("decimal(38,0)"))).first())
+        if sign == before:
+            return out
+        before, turn = sign, turn + 1
+        gone = out.select("id", F.lit(True).alias("gone"))
+        owners = held.join(gone, "id", "left").groupBy("run").agg(F.least(F.min(F.when(F.col("gone").isNull(), F.col("id"))), F.min("free")).alias("of"))
+        owned = held.join(owners, "run").where("of < id").groupBy("id", "n", "of").agg(F.count(F.lit(1)).alias("k"))
+        out = stage.put(owned.where(F.col("k") / F.col("n") >= OWNED).select("id", "of"), f"round{turn}")
+        stage.drop(name)
+        name = f"round{turn}"
+
+
 def owner_dedup(spark, d):
     """(doc_id, verdict, of): in the order of ids, copies and texts of whose seven-token runs an earlier kept text owns
-    86 % or more are rejected. Owners are settled within each group of linked texts."""
+    86 % or more are rejected. Owners are settled over all texts."""
     stage = Stage(spark, "owner")
     rows = stage.put(docs(spark, d, "text").select("doc_id", F.sha2(T.normalize_text("text"), 256).alias("h"), T.window_hashes(T.lexical_tokens("text"), OWNER_RUN).alias("runs")), "rows")
-    heads = stage.put(rows.groupBy("h").agg(F.min("doc_id").alias("id"), F.any_value("runs").alias("runs")).where("size(runs) > 0"), "heads")
+    heads = stage.put(rows.groupBy("h").agg(F.min("doc_id").alias("id"), F.min_by("runs", "doc_id").alias("runs")).where("size(runs) > 0"), "heads")
     n = F.size("runs")
     ones = heads.select("id", n.alias("n"), F.explode("runs").alias("run"))
     often = ones.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -180,29 +208,10 @@ def owner_dedup(spark, d):
     probe = own.withColumn("spare", spare).where("spare >= 0").select("id", F.explode(F.slice("c", F.lit(1), (F.col("spare") + 1).cast("int"))).alias("x")).select("id", "x.run")
     near = probe.alias("a").join(common.select("run", F.col("id").alias("other")).alias("b"), "run").where(F.col("other") < F.col("id")).select("id", "other").distinct()
     full = near.join(heads.select("id", "runs"), "id").join(heads.select(F.col("id").alias("other"), F.col("runs").alias("theirs")), "other")
-    links = stage.put(full.where(F.size(F.array_intersect("runs", "theirs")) >= OWNED * n).select(F.col("id").alias("u"), F.col("other").alias("v")), "links")
-    parts = connected_components(spark, links)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        owner: dict[int, int] = {}
-        out = []
-        for r in pdf.sort_values("id").itertuples(index=False):
-            held: dict[int, int] = {}
-            for g in r.runs:
-                if g in owner:
-                    held[owner[g]] = held.get(owner[g], 0) + 1
-            of = min(held, key=lambda k: (-held[k], k)) if held else None
-            if of is not None and held[of] / len(r.runs) >= OWNED:
-                out.append((r.id, "reject", of))
-                continue
-            out.append((r.id, "keep", None))
-            for g in r.runs:
-                owner.setdefault(g, r.id)
-        return pd.DataFrame(out, columns=["id", "verdict", "of"]).astype({"of": "Int64"})
-
-    linked = heads.join(parts, heads["id"] == parts["node"]).select("component", "id", "runs").groupBy("component").applyInPandas(replay, "id long, verdict string, of long")
+    links = stage.put(full.where(F.size(F.array_intersect("runs", "theirs")) / n >= OWNED).select(F.col("id").alias("u"), F.col("other").alias("v")), "links")
+    owned = settle_owners(spark, common, links).select(F.col("id").alias("head"), "of", F.lit("reject").alias("verdict"))
     first = rows.groupBy("h").agg(F.min("doc_id").alias("head"))
-    judged = first.join(linked.withColumnRenamed("id", "head"), "head", "left").select("h", "head", F.coalesce("verdict", F.lit("keep")).alias("v"), "of")
+    judged = first.join(owned, "head", "left").select("h", "head", F.coalesce("verdict", F.lit("keep")).alias("v"), "of")
     copy = F.col("doc_id") != F.col("head")
     return rows.select("doc_id", "h").join(judged, "h").select("doc_id", F.when(copy, "reject").otherwise(F.col("v")).alias("verdict"), F.when(copy & (F.col("v") == "keep"), F.col("head")).otherwise(F.col("of")).alias("of"))
 
