@@ -136,3 +136,59 @@ def greedy_select(rows: DataFrame, group: str, order: list[Column], quotas: dict
     able = small.where(F.col("tokens") <= F.coalesce(F.element_at(quota, F.col("g")), F.lit(-1)))
     streams = able.repartition("g").sortWithinPartitions("g", *[f"_o{i}" for i in range(len(order))])
     return streams.select("g", "id", "family", "tokens").mapInPandas(run, "id string")
+
+
+def near_sims(stage: Stage, rows: DataFrame) -> DataFrame:
+    """(sim, near): for each fingerprint of (sim, tokens) the others within 6 bits that share a band with it.
+
+    A row of 40 tokens or more can be near an earlier one of 40 / 1.35 tokens; shorter rows make no band keys.
+    """
+    sims = rows.where("sim is not null and tokens * 1.35D >= 40").select("sim").distinct()
+    keyed = stage.put(sims.select("sim", F.explode(bands(F.col("sim"))).alias("band")), "bands")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.sim") != F.col("b.sim"))).where(F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim"))) <= 6)
+    return met.select(F.col("a.sim").alias("sim"), F.col("b.sim").alias("other")).groupBy("sim").agg(F.collect_set("other").alias("near"))
+
+
+def greedy_unique(spark: SparkSession, rows: DataFrame, group: str, order: list[Column], quotas: dict[str, int], family_cap: int) -> DataFrame:
+    """(id): as `greedy_select`, groups in the order of their names, and no row is taken beside a copy taken before.
+
+    rows: (group, id, family, tokens, exact, template, sim). Family, then quota, then copies are tested, in all groups so
+    far: the same `exact`, the same `template` from 30 tokens, or near from 40 by length ratio, band and Hamming distance.
+    Near fingerprints come from a join; the choice is one ordered stream, as a copy in one group frees quota in the
+    next. It holds family counts and the prints of taken rows. Nulls equal nothing and are near nothing.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used: dict[str, int] = {}
+        families: dict[tuple, int] = {}
+        exact: set[str] = set()
+        templates: set[str] = set()
+        sims: dict[int, set[int]] = {}
+        for b in batches:
+            out = []
+            for g, i, f, n, e, t, s, near in zip(b["g"], b["id"], b["family"], b["tokens"], b["exact"], b["template"], b["sim"], b["near"]):
+                if families.get((g, f), 0) >= family_cap > 0 or used.get(g, 0) + n > quotas.get(g, -1):
+                    continue
+                if e in exact or n >= 30 and t in templates:
+                    continue
+                if s is not None and n >= 40 and any(max(n, m) / max(1, min(n, m)) <= 1.35 for x in (s, *(() if near is None else near)) for m in sims.get(int(x), ())):
+                    continue
+                out.append(i)
+                used[g] = used.get(g, 0) + n
+                families[g, f] = families.get((g, f), 0) + 1
+                if e is not None:
+                    exact.add(e)
+                if t is not None:
+                    templates.add(t)
+                if s is not None:
+                    sims.setdefault(int(s), set()).add(n)
+            yield pd.DataFrame({"id": pd.Series(out, dtype=object)})
+
+    stage = Stage(spark, "unique")
+    quota = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v).cast("long"))]) if quotas else F.create_map().cast("map<string,long>")
+    small = rows.select(F.col(group).alias("g"), "id", F.coalesce("family", "id").alias("family"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "exact", "template", "sim", *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    able = stage.put(small.where(F.col("tokens") <= F.coalesce(F.element_at(quota, F.col("g")), F.lit(-1))), "able")
+    # As text: a null beside longs would make Pandas turn fingerprints to floats.
+    stream = able.join(near_sims(stage, able), "sim", "left").withColumn("sim", F.col("sim").cast("string")).repartition(1).sortWithinPartitions("g", *[f"_o{i}" for i in range(len(order))])
+    return stream.select("g", "id", "family", "tokens", "exact", "template", "sim", "near").mapInPandas(run, "id string")

@@ -83,9 +83,9 @@ def review_round_robin(spark, d, size: int = 40):
     return ranked.orderBy("turn", "group_id").limit(size).select("record_id", "group_id", "turn")
 
 
-def _prints(spark, d) -> DataFrame:
+def _prints(spark, d, *more) -> DataFrame:
     r = records(spark, d)
-    return r.select(F.col("record_id").alias("id"), F.col("normalized_sha256").alias("exact"), F.col("template_sha256").alias("template"), F.when(F.length("simhash64") == 16, dedup.hex_long("simhash64")).alias("sim"), F.coalesce("token_count_proxy", F.lit(0)).alias("tokens"))
+    return r.select(F.col("record_id").alias("id"), *more, F.col("normalized_sha256").alias("exact"), F.col("template_sha256").alias("template"), F.when(F.length("simhash64") == 16, dedup.hex_long("simhash64")).alias("sim"), F.coalesce("token_count_proxy", F.lit(0)).alias("tokens"))
 
 
 def band_near(spark, d):
@@ -102,10 +102,11 @@ def keep_first_dedup(spark, d):
 
 
 def ranked_select(spark, d):
-    """Records taken per source by score, size and id, under the source's token quota and one record a family."""
-    quotas = {r["source_id"]: int(r["target_tokens"] // 200) for r in latest_sources(table(spark, d, MANIFEST)).where("target_tokens is not null").collect()}
-    rows = records(spark, d).where("source_id is not null").select("source_id", F.col("record_id").alias("id"), F.col("family_id").alias("family"), F.col("token_count_proxy").alias("tokens"), "selection_score")
-    return dedup.greedy_select(rows, "source_id", [-F.coalesce("selection_score", F.lit(0)), F.coalesce("tokens", F.lit(0)), F.col("id")], quotas, 1)
+    """Records taken per source by score, size and id, under the source's whole token target and one record a family,
+    without copies or near copies of records taken before in any source. Sources go in the order of their names."""
+    quotas = {r["source_id"]: int(r["target_tokens"]) for r in latest_sources(table(spark, d, MANIFEST)).where("target_tokens is not null").collect()}
+    rows = _prints(spark, d, "source_id", F.col("family_id").alias("family"), "selection_score").where("source_id is not null")
+    return dedup.greedy_unique(spark, rows, "source_id", [-F.coalesce("selection_score", F.lit(0)), F.coalesce("tokens", F.lit(0)), F.col("id")], quotas, 1)
 
 
 def candidate_exclusions(spark, d, least: int = 80, most: int = 400):
