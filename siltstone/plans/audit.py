@@ -303,14 +303,23 @@ def heldout_contained(spark, d):
     return texts.mapInPandas(run, "record_id string, eval_id string, field string")
 
 
+#: (held-out column, least Jaccard, record fields of which the better one counts).
+SIMILAR = (("prompt", 0.42, ("instruction",)), ("expected_behavior_notes", 0.55, ("instruction", "answer")))
+
+
 def heldout_similar(spark, d):
-    """(id, eval_id, score): instructions whose trigrams are like those of a held-out prompt (0.42 or more)."""
-    q = table(spark, d, HELDOUT, "id", "prompt").where("id is not null").select(F.col("id").alias("eval_id"), T.trigrams(_text("prompt")).alias("p"))
+    """(id, eval_id, score): instructions whose trigrams are like those of a held-out prompt (0.42 or more), and records
+    of which instruction or answer is like its behaviour notes (0.55 or more); one row for each of the two."""
+    h = table(spark, d, HELDOUT, "id", *[c for c, _, _ in SIMILAR]).where("id is not null")
+    items = F.array(*[F.struct(F.lit(c).alias("what"), F.lit(least).alias("least"), F.array(*map(F.lit, fields)).alias("fields"), T.trigrams(_text(c)).alias("p")) for c, least, fields in SIMILAR])
     stage = Stage(spark, "heldout")
-    r = stage.put(records(spark, d, "instruction").select("id", T.trigrams(_text("instruction")).alias("runs")), "records")
-    shared = r.select("id", F.size("runs").alias("n"), F.explode("runs").alias("g")).join(F.broadcast(q.select("eval_id", F.size("p").alias("m"), F.explode("p").alias("g"))), "g").groupBy("id", "eval_id", "n", "m").agg(F.count(F.lit(1)).alias("i"))
+    q = stage.put(h.select(F.col("id").alias("eval_id"), F.explode(items).alias("x")).select("eval_id", "x.*"), "items")
+    sides = F.array(*[F.struct(F.lit(c).alias("field"), T.trigrams(_text(c)).alias("runs")) for c in ("instruction", "answer")])
+    r = stage.put(records(spark, d, "instruction", "answer").select("id", F.explode(sides).alias("x")).select("id", "x.*"), "records")
+    grams = q.select("eval_id", "what", "least", F.size("p").alias("m"), F.explode("fields").alias("field"), "p").withColumn("g", F.explode("p")).drop("p")
+    shared = r.select("id", "field", F.size("runs").alias("n"), F.explode("runs").alias("g")).join(F.broadcast(grams), ["field", "g"]).groupBy("id", "eval_id", "what", "least", "field", "n", "m").agg(F.count(F.lit(1)).alias("i"))
     score = F.col("i") / (F.col("n") + F.col("m") - F.col("i"))
-    return shared.where(score >= 0.42).select("id", "eval_id", F.round(score, 6).alias("score"))
+    return shared.where(score >= F.col("least")).groupBy("id", "eval_id", "what").agg(F.max(score).alias("score")).select("id", "eval_id", F.round("score", 6).alias("score"))
 
 
 def nearest_heldout(spark, d):
