@@ -137,7 +137,7 @@ def inference_accuracy(spark, d):
 
 
 def choice_scores(spark, d):
-    """First standalone choice letter in each answer, against the category's initial; unmatched answers have none."""
+    """First standalone choice letter in each answer, or null; it is not compared with an expected one."""
     letter = F.regexp_extract(F.upper(T.strip(_text("answer"))), r"(?:^|[^A-Z0-9])([ABCD])(?:$|[^A-Z0-9])", 1)
     return records(spark, d, "answer", "category").select("id", F.when(letter != "", letter).alias("choice"))
 
