@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators.ranking import running_total, seeded_hash
+from siltstone.plans.slices import latest_sources
 from siltstone.plans.staging import Stage
 from siltstone.sources.tables import label
 
@@ -42,13 +43,6 @@ def sainte_lague(weights: dict[str, float], blocks: int, caps: dict[str, int]) -
     return seats
 
 
-def latest_sources(manifest: DataFrame) -> DataFrame:
-    """(source_id, target_tokens, max_repeats) of the latest row of each source, its name trimmed in lower case."""
-    latest = F.max(F.struct("recorded_at", "target_tokens", "max_repeats")).alias("l")
-    named = manifest.withColumn("source_id", label("source_id")).where(F.col("source_id").isNotNull())
-    return named.groupBy("source_id").agg(latest).select("source_id", "l.target_tokens", "l.max_repeats")
-
-
 def source_records(slice_: DataFrame) -> DataFrame:
     """(record_id, source_id, tokens) of each distinct record with a source; null counts are 0."""
     rows = slice_.select("record_id", label("source_id").alias("source_id"), F.coalesce("actual_token_count", F.lit(0)).cast("long").alias("tokens"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import dedup
-from siltstone.operators.mixing import latest_sources
 from siltstone.operators.ranking import permuted_rank, running_total
 from siltstone.plans.staging import Stage
 from siltstone.sources.tables import label, table
@@ -24,6 +23,13 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     return last.select("record_id", *[label(f"r.{c}").alias(c) if c == "source_id" else F.col(f"r.{c}").alias(c) for c in cols])
 
 
+def latest_sources(manifest: DataFrame) -> DataFrame:
+    """(source_id, target_tokens, max_repeats) of the latest row of each source, its name trimmed in lower case."""
+    latest = F.max(F.struct("recorded_at", "target_tokens", "max_repeats")).alias("l")
+    named = manifest.withColumn("source_id", label("source_id")).where(F.col("source_id").isNotNull())
+    return named.groupBy("source_id").agg(latest).select("source_id", "l.target_tokens", "l.max_repeats")
+
+
 def shared_rank(*parts) -> Column:
     """A 60-bit rank from seed and key parts that any engine can compute."""
     text = F.concat_ws("\x1f", *[F.lit(p) if not isinstance(p, Column) else p for p in parts])
@@ -66,9 +72,8 @@ def token_offsets(spark, d):
 def review_even(spark, d):
     """Up to eight records per source, evenly spaced by size; places are whole-number positions of a global rank."""
     r = records(spark, d).where("source_id is not null and token_count_proxy is not null").select("record_id", "source_id", "token_count_proxy")
-    order = F.shiftleft(F.col("token_count_proxy").cast("long"), 42)
-    rows = Stage(spark, "even").put(r.withColumn("o", order), "rows")
-    ranked = permuted_rank(rows, ["source_id"], "o", ["record_id"], "rank")
+    rows = Stage(spark, "even").put(r, "rows")
+    ranked = permuted_rank(rows, ["source_id"], "token_count_proxy", ["record_id"], "rank")
     n = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     k = REVIEW_ROWS - 1
     step = F.col("rank") - 1
