@@ -121,7 +121,7 @@ def split_checks(spark: SparkSession, slice_: DataFrame) -> DataFrame:
     records there are."""
     stage = Stage(spark, "checks")
     splits = stage.put(grouped_splits(spark, slice_), "splits")
-    rows = stage.put(slice_.join(splits.select("record_id", "split"), "record_id", "left").select("record_id", "family_id", "normalized_sha256", "split"), "rows").where("record_id is not null")
+    rows = stage.put(slice_.select("record_id", "family_id", "normalized_sha256").join(splits.select("record_id", "split"), "record_id", "left"), "rows").where("record_id is not null")
     over = lambda key, name: rows.where(key.isNotNull()).groupBy(key.alias("k")).agg(F.count_distinct("split").alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("found")).select(F.lit(name).alias("check"), "found")
     out = over(F.col("normalized_sha256"), "hash_over_splits").union(over(family_key(F.col("family_id")), "family_over_splits")).union(over(F.col("record_id"), "record_over_splits"))
     out = out.union(rows.where("split is null").agg(F.count(F.lit(1)).alias("found")).select(F.lit("record_without_split").alias("check"), "found"))
