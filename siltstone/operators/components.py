@@ -1,17 +1,12 @@
-"""Connected components by alternating large-star and small-star, and splits that keep components whole."""
+"""Connected components by alternating large-star and small-star."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.plans.staging import Stage
 
-SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
-#: A component with at least this share of the rows is placed by itself; at most 1 / HEAVY_SHARE of them exist.
-HEAVY_SHARE = 0.01
-SPLIT_RANGE = 1 << 30
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours its least neighbour."""
@@ -48,93 +43,3 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-
-
-def family_key(family: Column) -> Column:
-    """What tells families apart: letters and digits in lower case, without a leading or trailing `test` or `tests`
-    in the last component. Components end at `:`, `/` or `|`. Null stays null; a name of only such words is kept."""
-    text = F.regexp_replace(F.lower(family), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    last = F.regexp_extract(text, r"([^:/|]*)$", 1)
-    bare = F.regexp_replace(F.regexp_replace(last, r"^[^\p{L}\p{N}]*tests?[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}]+tests?[^\p{L}\p{N}]*$", "")
-    first = F.substring(text, F.lit(1), F.char_length(text) - F.char_length(last))
-    squeezed = F.regexp_replace(F.concat(first, bare), r"[^\p{L}\p{N}]+", "")
-    return F.when(squeezed == "", F.lower(family)).otherwise(squeezed)
-
-
-def family_components(spark: SparkSession, slice_: DataFrame) -> DataFrame:
-    """(family_id, component) for each distinct stored, non-null `family_id`.
-
-    Families with one `family_key`, one `record_id` or one `normalized_sha256` in common are joined, transitively.
-    Keys are 64-bit hashes. A record or hash seen with one family only gives no edge, so the graph holds just the
-    links; the star at a shared key runs to its least family, never over pairs of its rows.
-    """
-    node = F.xxhash64(family_key(F.col("family_id")))
-    rows = slice_.where(F.col("family_id").isNotNull())
-    names = rows.select("family_id").distinct().withColumn("node", node)
-    seen = rows.select(node.alias("node"), F.xxhash64(F.lit("r"), "record_id").alias("r"), F.xxhash64(F.lit("s"), "normalized_sha256").alias("s"), "record_id", "normalized_sha256")
-    keyed = seen.select("node", F.explode(F.array_compact(F.array(F.when(F.col("record_id").isNotNull(), F.col("r")), F.when(F.col("normalized_sha256").isNotNull(), F.col("s"))))).alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    edges = keyed.join(ends, "key").where("node > low").select(F.col("node").alias("u"), F.col("low").alias("v"))
-    parts = connected_components(spark, edges)
-    return names.join(parts, "node", "left").select("family_id", F.coalesce("component", "node").alias("component"))
-
-
-def linked_families(spark: SparkSession, slice_: DataFrame) -> DataFrame:
-    """(family_a, family_b), family_a < family_b by code point, for all stored families of one component."""
-    c = family_components(spark, slice_)
-    many = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-    c = Stage(spark, "families").put(c.join(many, "component"), "members")
-    a, b = c.select("component", F.col("family_id").alias("family_a")), c.select("component", F.col("family_id").alias("family_b"))
-    return a.join(b, "component").where("family_a < family_b").select("family_a", "family_b")
-
-
-def component_splits(rows: DataFrame, component: str, splits=SPLITS, seed: int = 17) -> DataFrame:
-    """Adds `split` to `rows`: all rows of a component share it, shares of rows come near `splits`.
-
-    The component's hash falls into ranges proportional to the shares. Components of at least HEAVY_SHARE of all
-    rows would bend the shares, so these few (at most 100) are placed first, each into the split with most room, and
-    the ranges of the rest are proportional to the room left. Null components are spread by the hash of null: give
-    such rows a component of their own before. An empty table gives no rows.
-    """
-    sizes = rows.groupBy(component).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.count()
-    heavy = sizes.where(F.col("_n") >= F.lit(max(2, int(total * HEAVY_SHARE)))).orderBy(F.desc("_n"), component).limit(int(1 / HEAVY_SHARE)).collect() if total else []
-    room = {name: share * total for name, share in splits}
-    placed: dict[str, list[int]] = {}
-    for c, n in heavy:
-        name = max(room, key=lambda k: room[k])
-        room[name] -= n
-        placed.setdefault(name, []).append(c)
-    left = {name: max(0.0, r) for name, r in room.items()}
-    scale = sum(left.values()) or 1.0
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(component)), F.lit(SPLIT_RANGE))
-    choice, reached = None, 0.0
-    for name, of in placed.items():
-        choice = (F.when(F.col(component).isin(of), name) if choice is None else choice.when(F.col(component).isin(of), name))
-    names = [name for name, _ in splits]
-    for name in names[:-1]:
-        reached += left[name] / scale
-        at = draw < F.lit(int(reached * SPLIT_RANGE))
-        choice = F.when(at, name) if choice is None else choice.when(at, name)
-    return rows.withColumn("split", choice.otherwise(names[-1]) if choice is not None else F.lit(names[-1]))
-
-
-def record_components(spark: SparkSession, slice_: DataFrame) -> DataFrame:
-    """(record_id, component) for every distinct record, those without a family among them.
-
-    A record without family takes the component of any row that shares its id or its hash; alone, it is its own.
-    """
-    fam = family_components(spark, slice_)
-    rows = slice_.select("record_id", "family_id", "normalized_sha256").join(fam, "family_id", "left")
-    rows = Stage(spark, "records").put(rows.select("record_id", "normalized_sha256", "component"), "rows")
-    by_record = rows.groupBy("record_id").agg(F.min("component").alias("component"), F.min("normalized_sha256").alias("hash"))
-    lone = by_record.where("component is null and hash is not null").select("record_id", "hash")
-    by_hash = rows.where("component is not null and normalized_sha256 is not null").groupBy(F.col("normalized_sha256").alias("hash")).agg(F.min("component").alias("by_hash"))
-    found = lone.join(by_hash, "hash", "left").select("record_id", F.coalesce("by_hash", F.xxhash64(F.lit("h"), "hash")).alias("other"))
-    return by_record.join(found, "record_id", "left").select("record_id", F.coalesce("component", "other", F.xxhash64(F.lit("r"), "record_id")).alias("component"))
-
-
-def grouped_splits(spark: SparkSession, slice_: DataFrame, splits=SPLITS, seed: int = 17) -> DataFrame:
-    """(record_id, component, split) for every distinct record of a slice."""
-    parts = Stage(spark, "splits").put(record_components(spark, slice_), "records")
-    return component_splits(parts, "component", splits, seed)

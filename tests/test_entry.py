@@ -1,4 +1,5 @@
-import importlib.util
+import importlib
+import re
 
 import __spark_entry__ as entry
 import pytest
@@ -16,7 +17,21 @@ def test_contract():
     q, s = entry.queries(), entry.oracle_sql()
     assert set(s) <= set(q)
     assert set(CORE) <= set(q)
-    assert (importlib.util.find_spec("siltstone.llm") is not None) == any(k.startswith(("p1_", "p3_", "p7_", "p8_", "p9_")) for k in q)
+    present = any(m.__name__.startswith("siltstone.llm") for m in entry._modules())
+    assert present == any(re.match(r"p\d_", k) for k in q)
+
+
+def test_a_left_over_folder_is_no_package(monkeypatch):
+    """A folder without modules, as a deleted package leaves behind, does not count as the package."""
+    real = importlib.import_module
+
+    def without(name):
+        if name.startswith("siltstone.llm"):
+            raise ModuleNotFoundError(name=name)
+        return real(name)
+
+    monkeypatch.setattr(entry.importlib, "import_module", without)
+    assert not any(re.match(r"p\d_", k) for k in entry.queries()) and len(entry.queries()) > 50
 
 
 @pytest.mark.parametrize("name", sorted(CORE))
