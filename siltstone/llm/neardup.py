@@ -25,6 +25,8 @@ from siltstone.plans.staging import Stage
 
 RUN = 3
 NUMERATOR, DENOMINATOR = 3, 5  # similarity of at least 3/5
+#: Positions of ones are hashes of so many bits; the bits above hold how many records have a one, up to MOST_DF.
+POSITION_BITS, MOST_DF = 48, (1 << 15) - 1
 #: Hot runs: held by 1 / HOT_PART of a sample of one record in SAMPLE_PART. There are at most HOT_PART × the mean number
 #: of runs of them, at any size. A sample under LEAST_SAMPLE records names none, as no task is large then.
 SAMPLE_PART, HOT_PART, LEAST_SAMPLE = 64, 200, 400
@@ -50,7 +52,8 @@ def record_classes(stage: Stage, accepted: DataFrame) -> tuple[DataFrame, DataFr
     latest = stage.put(texts.groupBy("id").agg(F.max(F.struct("received_at", "fp")).alias("l")).select("id", F.col("l.fp").alias("fp")), "latest")
     alive = latest.select("fp").distinct()
     one = texts.select("fp", "words").groupBy("fp").agg(F.min("words").alias("words")).join(alive, "fp", "left_semi")
-    runs = one.select("fp", F.split("words", " ").alias("w")).select("fp", window_hashes(F.col("w"), RUN).alias("runs"))
+    place = lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
+    runs = one.select("fp", F.split("words", " ").alias("w")).select("fp", F.transform(window_hashes(F.col("w"), RUN), place).alias("runs"))
     classes = stage.put(runs.where("size(runs) > 0").withColumn("row", F.monotonically_increasing_id()), "classes")
     members = stage.put(latest.join(classes.select("fp", "row"), "fp").select("id", "row"), "members")
     return members, classes.select("row", F.size("runs").alias("n"), "runs")
@@ -62,7 +65,8 @@ def _least_common(n: Column) -> Column:
 
 
 def _shared_runs(stage: Stage, classes: DataFrame) -> DataFrame:
-    """(row, run, df) of the runs that at least two classes hold; df orders runs, the same for all that hold one."""
+    """(row, one) of the runs that at least two classes hold; `one` is the run below the number of its classes, so it
+    orders runs from the rarest on, the same for all that hold one."""
     sample = classes.where(F.pmod(F.xxhash64(F.lit(41), "row"), F.lit(SAMPLE_PART)) == 0)
     size = sample.count()
     counted = sample.select(F.explode("runs").alias("run")).groupBy("run").agg((F.count(F.lit(1)) * SAMPLE_PART).alias("df"))
@@ -71,14 +75,15 @@ def _shared_runs(stage: Stage, classes: DataFrame) -> DataFrame:
     marked = ones.join(F.broadcast(hot), "run", "left")
     rare = marked.where("df is null").select("row", "run")
     often = rare.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("run"))).where("df > 1")
-    return often.union(marked.where("df is not null").select("row", "run", "df"))
+    both = often.union(marked.where("df is not null").select("row", "run", "df"))
+    return both.select("row", F.shiftleft(F.least("df", F.lit(MOST_DF)), POSITION_BITS).bitwiseOR(F.col("run")).alias("one"))
 
 
 def near_pairs(stage: Stage, classes: DataFrame) -> DataFrame:
     """(row_a, row_b), row_a < row_b, of different classes (row, n, runs) whose similarity is at least 0.6."""
     # Per record, the shared ones, rarest first. A record has few ones, so sorting its array is local work.
-    own = _shared_runs(stage, classes).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "run"))).alias("c"))
-    sized = own.join(classes.select("row", "n"), "row").select("row", "n", F.col("c.run").alias("common"))
+    own = _shared_runs(stage, classes).groupBy("row").agg(F.sort_array(F.collect_list("one")).alias("common"))
+    sized = own.join(classes.select("row", "n"), "row").select("row", "n", "common")
     n, absent = F.col("n"), F.col("n") - F.size("common")
     spare = n - _least_common(n) - absent
     # Of the smaller of two records ⌈0.75 n⌉ ones must be common: 2t / (1 + t) of n for a similarity t of 3/5.
