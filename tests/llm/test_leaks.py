@@ -73,3 +73,54 @@ def test_empty_tables(spark):
     none = tables(spark, [], [])
     assert L.leaks(spark, none[0], h).count() == 0 and L.leaks(spark, d, none[1]).count() == 0
     assert L.clean_documents(spark, d, none[1]).count() == len(docs)
+
+
+def test_passes_and_small_blocks_change_nothing(spark, monkeypatch):
+    docs, prompts = fixture(3)
+    d, h = tables(spark, docs, prompts)
+    whole = sorted(map(tuple, L.shared_runs(spark, d, h).collect()))
+    assert len(L._parts(h, 700)) > 1
+    assert sorted(map(tuple, L.shared_runs(spark, d, h, pass_chars=700).collect())) == whole
+    import numpy as np
+
+    prompt = L.Prompts([(i, p) for i, p in prompts if i])
+    shard = [(i, np.array([prompt.number.get(w, 0) for w in words(t)], dtype=np.int64)) for i, t in docs[:60]]
+    rows = sorted(L.search_shard(prompt, shard))
+    monkeypatch.setattr(L, "MOST_AT_ONCE", 20)
+    assert sorted(L.search_shard(prompt, shard)) == rows and rows
+
+
+def test_suffix_array_is_sorted():
+    import numpy as np
+
+    r = random.Random(2)
+    for _ in range(20):
+        sequence = np.array([r.choice([0, 1, 1, 2, 3]) for _ in range(60)], dtype=np.int64)
+        order = L.suffix_array(sequence)
+
+        def after(i):
+            out = []
+            while i < len(sequence) and sequence[i]:
+                out.append(int(sequence[i]))
+                i += 1
+            return out
+
+        assert sorted(order) == np.flatnonzero(sequence).tolist()
+        assert [after(i) for i in order] == sorted(after(i) for i in order)
+
+
+def test_one_very_long_prompt_takes_linear_memory():
+    """A prompt of 50,000 words, varied or of one word only, against a shard that holds it."""
+    import tracemalloc
+
+    import numpy as np
+
+    for text in (" ".join(f"w{i * 7919 % 9001}" for i in range(50_000)), "same " * 6_000):
+        tracemalloc.start()
+        prompt = L.Prompts([("long", text), ("other", "w1 w2 w3 w4 w5 w6")])
+        shard = [(k, np.array([prompt.number[w] for w in words(text)], dtype=np.int64)) for k in range(3)]
+        rows = L.search_shard(prompt, shard)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [(r[0], r[4], r[5]) for r in rows if r[1] == "long"] == [(k, len(words(text)), 0) for k in range(3)]
+        assert peak < 300e6
