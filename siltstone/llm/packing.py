@@ -2,8 +2,9 @@
 
 Each text becomes a hashed bag-of-words vector, projected to three dimensions; its place on a Hilbert curve through
 that space is the sort key, so texts that stand together are alike. A range sort by key cuts the curve into
-partitions, and each partition packs along its stretch of curve: windows of neighbours, best fit from the longest
-down, into the containers still open. Only (doc_id, tokens, key) is shuffled.
+partitions, and each partition packs along its stretch of curve: small windows of neighbours, best fit from the longest
+down, into the few containers still open, so a container holds texts of one short stretch. Windows do not depend on how
+rows are batched. Only (doc_id, tokens, key) is shuffled.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from siltstone.plans.staging import Stage
 
 CAPACITY = 2048
 BUCKETS, DIMENSIONS, BITS, SEED = 1024, 3, 10, 29
-#: Items of one packing window, containers kept open between windows, items of one partition of the curve.
-WINDOW, OPEN, ITEMS = 4096, 512, 400_000
+#: Items of one packing window, containers kept open between windows, items of one partition of the curve. Small windows
+#: keep the texts of a container close together on the curve; on sf0.1 128 and 16 fill 99.6 % at a span of 1.4 % of it.
+WINDOW, OPEN, ITEMS = 128, 16, 25_000
 
 
 def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -114,10 +116,11 @@ class Packer:
 
 
 def packed(spark: SparkSession, documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, part, parts, tokens, container_id): every text in containers of `capacity` tokens.
+    """(doc_id, part, parts, tokens, container_id, place): every text in containers of `capacity` tokens.
 
     Texts up to the capacity have one part; longer ones, and only they, are split into full parts and a rest. Empty
-    texts take no room. Repeated rows of a doc_id are items of their own; an empty table gives no rows.
+    texts take no room. `place` counts along the curve, from a high number of its own in each partition. Repeated rows of
+    a doc_id are items of their own; an empty table gives no rows.
     """
     stage = Stage(spark, "packing")
     items = stage.put(placed(documents), "items")
@@ -128,27 +131,36 @@ def packed(spark: SparkSession, documents: DataFrame, capacity: int = CAPACITY)
     curve = sized.repartitionByRange(count, "key", "doc_id", "part").sortWithinPartitions("key", "doc_id", "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = Packer(capacity, TaskContext.get().partitionId() << 40)
-        held: list[pd.DataFrame] = []
+        first = TaskContext.get().partitionId() << 40
+        packer, held, place = Packer(capacity, first), None, first
+
+        def window(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal place
+            place += len(rows)
+            return rows.assign(container_id=packer.pack(rows["tokens"].to_numpy()), place=np.arange(place - len(rows), place))
+
         for b in batches:
-            held.append(b)
-            if sum(map(len, held)) >= WINDOW:
-                window = pd.concat(held)
-                held = []
-                yield window.assign(container_id=packer.pack(window["tokens"].to_numpy()))
-        if held:
-            window = pd.concat(held)
-            yield window.assign(container_id=packer.pack(window["tokens"].to_numpy()))
+            held = b if held is None or not len(held) else pd.concat([held, b])
+            whole = len(held) // WINDOW * WINDOW
+            if whole:
+                yield pd.concat([window(held.iloc[k : k + WINDOW]) for k in range(0, whole, WINDOW)])
+                held = held.iloc[whole:]
+        if held is not None and len(held):
+            yield window(held)
 
     rows = curve.select("doc_id", "part", "parts", "tokens")
-    return rows.mapInPandas(run, "doc_id long, part int, parts int, tokens long, container_id long")
+    return rows.mapInPandas(run, "doc_id long, part int, parts int, tokens long, container_id long, place long")
 
 
 def container_fill(spark: SparkSession, documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(containers, tokens, fill, fewest): how many containers are used, and the least number that could be."""
-    used = packed(spark, documents, capacity).where("tokens > 0").groupBy("container_id").agg(F.sum("tokens").alias("n"))
-    return used.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).select(
-        "containers", "tokens", F.try_divide(F.col("tokens"), F.col("containers") * capacity).alias("fill"), F.ceil(F.col("tokens") / capacity).alias("fewest")
+    """(containers, tokens, fill, fewest, span): how many containers are used, the least number that could be, and the
+    mean stretch of the curve that a container of several texts takes its texts from, as a share of all texts."""
+    stage = Stage(spark, "fill")
+    rows = stage.put(packed(spark, documents, capacity).where("tokens > 0"), "packed")
+    used = rows.groupBy("container_id").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("texts"), (F.max("place") - F.min("place")).alias("stretch"))
+    sums = used.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.sum("texts").alias("texts"), F.avg(F.when(F.col("texts") > 1, F.col("stretch"))).alias("stretch"))
+    return sums.select(
+        "containers", "tokens", F.try_divide(F.col("tokens"), F.col("containers") * capacity).alias("fill"), F.ceil(F.col("tokens") / capacity).alias("fewest"), F.try_divide("stretch", "texts").alias("span")
     )
 
 

@@ -43,3 +43,18 @@ def test_containers(spark):
 def test_empty_table(spark):
     assert P.packed(spark, docs(spark, [])).count() == 0 and P.split_texts(spark, docs(spark, [])).count() == 0
     assert P.container_fill(spark, docs(spark, [])).first()["containers"] == 0
+
+
+def test_containers_hold_neighbours_and_fill(spark):
+    """On the test documents: containers are nearly full, and their texts stand close together on the curve."""
+    r = P.container_fill(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).first()
+    assert r["fill"] >= 0.97 and r["span"] < 0.15
+
+
+def test_batch_size_does_not_change_the_packing(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = []
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        rows.append(sorted(map(tuple, P.packed(spark, d).collect())))
+    assert rows[0] == rows[1]
