@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LINE = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 LEXICAL = r"[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+(?:\.\p{Nd}+)?|[^" + WS + "]"
-AUDIT = r"[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+(?:\.\p{Nd}+)?|===?|!==|==|!=|<=|>=|=>|::|\$\p{Nd}+|[^" + WS + "]"
+AUDIT = r"[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+(?:\.\p{Nd}+)?|==={0,1}|!==|==|!=|<=|>=|=>|::|\$\p{Nd}+|[^" + WS + "]"
 UUID, HEX, NUMBER = r"\b[0-9a-f]{8}-[0-9a-f-]{27,}\b", r"\b[0-9a-f]{8,}\b", r"\b(?:0x[0-9a-f]+|[0-9]+(?:\.[0-9]+)?)\b"
 
 
