@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from fractions import Fraction
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import rules as R
 from siltstone.functions import text as T
 from siltstone.functions.code import structure
+from siltstone.operators.containment import contained
 from siltstone.operators.similarity import best_match, similar_sets
 from siltstone.plans.staging import Stage
 from siltstone.sources.tables import label, table
@@ -53,9 +52,10 @@ PATTERNS = {
     "set_membership": r"\bset\(|new\s+Set\(", "async_await": r"\b(?:async|await|Promise<)\b", "pathlib_or_path": r"\b(?:Path|pathlib|Resolve-Path|Join-Path)\b",
     "json_parse": r"\b(?:json\.loads?|JSON\.parse|ConvertFrom-Json)\b", "explicit_size_limit": r"\b(?:max_|limit|length|size|bytes?)\b",
 }
-GENERIC_TERMS = tuple(
-    "valueerror typeerror return raise def function string number array list dict set true false null undefined select where unittest specific deterministic parameter membership integration exact message error stable sorted validation invalid empty exception input output".split()
-)
+#: Terms of held-out rows that are too common to tell anything.
+GENERIC_TERMS = (
+    "valueerror", "typeerror", "return", "raise", "def", "function", "string", "number", "array", "list", "dict", "set", "true", "false", "null", "undefined", "select", "where", "unittest", "specific", "deterministic", "parameter", "membership", "integration", "exact", "message", "error", "stable", "sorted", "validation", "invalid", "empty", "exception", "input", "output",
+)
 LINT_TAGS = ("instruction", "constraints", "answer", "bad_code", "reasoning", "file")
 
 
@@ -273,34 +273,15 @@ def _terms() -> Column:
 
 def heldout_contained(spark, d):
     """(record_id, eval_id, field) where a record's canonical text contains a prompt, test code, test line or term of a
-    held-out item. All strings are searched at once by one automaton; the held-out set is fixed and small."""
+    held-out item. All strings are searched at once by automata of bounded size."""
     h = table(spark, d, HELDOUT, "id", "prompt", "test_code", "required_terms", "forbidden_terms").where("id is not null")
     canon = lambda c: T.canonical_text(c)
     lines = F.transform(T.lines(_text("test_code")), lambda x: F.struct(F.lit("test_fixture_line").alias("field"), canon(x).alias("s"), F.lit(24).alias("least")))
     terms = F.transform(_terms(), lambda x: F.struct(F.lit("required_or_forbidden_term").alias("field"), canon(x).alias("s"), F.lit(1).alias("least")))
     whole = F.array(F.struct(F.lit("prompt").alias("field"), canon(_text("prompt")).alias("s"), F.lit(1).alias("least")), F.struct(F.lit("test_code").alias("field"), canon(_text("test_code")).alias("s"), F.lit(30).alias("least")))
     needles = h.select("id", F.explode(F.concat(whole, lines, terms)).alias("x")).where("char_length(x.s) >= x.least").select("id", "x.field", "x.s").distinct()
-    rows = needles.limit(1_000_001).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("the held-out set is too large for one automaton")
-    by: dict[str, list[tuple[str, str]]] = {}
-    for r in rows:
-        by.setdefault(r["s"], []).append((r["id"], r["field"]))
-    sent = spark.sparkContext.broadcast(by)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for s in sent.value:
-            automaton.add_word(s, s)
-        automaton.make_automaton()
-        for b in batches:
-            out = {(i, e, f) for i, t in zip(b["record_id"], b["t"]) for _, s in (automaton.iter(t) if sent.value else ()) for e, f in sent.value[s]}
-            yield pd.DataFrame(sorted(out), columns=["record_id", "eval_id", "field"])
-
-    texts = inventory(spark, d, "rendered").select("record_id", canon(_text("rendered")).alias("t"))
-    return texts.mapInPandas(run, "record_id string, eval_id string, field string")
+    texts = inventory(spark, d, "rendered").select(F.col("record_id").alias("key"), canon(_text("rendered")).alias("t"))
+    return contained(spark, texts, needles.select(F.col("id").alias("eval_id"), "field", "s")).select(F.col("key").alias("record_id"), "eval_id", "field").distinct()
 
 
 #: (held-out column, least Jaccard, record fields of which the better one counts).
@@ -308,7 +289,7 @@ SIMILAR = (("prompt", 0.42, ("instruction",)), ("expected_behavior_notes", 0.55,
 
 
 def heldout_similar(spark, d):
-    """(id, eval_id, score): instructions whose trigrams are like those of a held-out prompt (0.42 or more), and records
+    """(id, eval_id, field, score): instructions whose trigrams are like those of a held-out prompt (0.42 or more), and records
     of which instruction or answer is like its behaviour notes (0.55 or more); one row for each of the two."""
     h = table(spark, d, HELDOUT, "id", *[c for c, _, _ in SIMILAR]).where("id is not null")
     items = F.array(*[F.struct(F.lit(c).alias("what"), F.lit(least).alias("least"), F.array(*map(F.lit, fields)).alias("fields"), T.trigrams(_text(c)).alias("p")) for c, least, fields in SIMILAR])
@@ -317,9 +298,9 @@ def heldout_similar(spark, d):
     sides = F.array(*[F.struct(F.lit(c).alias("field"), T.trigrams(_text(c)).alias("runs")) for c in ("instruction", "answer")])
     r = stage.put(records(spark, d, "instruction", "answer").select("id", F.explode(sides).alias("x")).select("id", "x.*"), "records")
     grams = q.select("eval_id", "what", "least", F.size("p").alias("m"), F.explode("fields").alias("field"), "p").withColumn("g", F.explode("p")).drop("p")
-    shared = r.select("id", "field", F.size("runs").alias("n"), F.explode("runs").alias("g")).join(F.broadcast(grams), ["field", "g"]).groupBy("id", "eval_id", "what", "least", "field", "n", "m").agg(F.count(F.lit(1)).alias("i"))
+    shared = r.select("id", "field", F.size("runs").alias("n"), F.explode("runs").alias("g")).join(grams, ["field", "g"]).groupBy("id", "eval_id", "what", "least", "field", "n", "m").agg(F.count(F.lit(1)).alias("i"))
     score = F.col("i") / (F.col("n") + F.col("m") - F.col("i"))
-    return shared.where(score >= F.col("least")).groupBy("id", "eval_id", "what").agg(F.max(score).alias("score")).select("id", "eval_id", F.round("score", 6).alias("score"))
+    return shared.where(score >= F.col("least")).groupBy("id", "eval_id", F.col("what").alias("field")).agg(F.max(score).alias("score")).select("id", "eval_id", "field", F.round("score", 6).alias("score"))
 
 
 def nearest_heldout(spark, d):
@@ -340,12 +321,35 @@ def inventory_match(spark, d):
     return a.join(b, "id", "full_outer").where("a is null or b is null").select("id", F.when(F.col("a").isNull(), "inventory_only").otherwise("accepted_only").alias("side"))
 
 
+#: Limits of the queue for sizes in lexical tokens, which overestimate: a quarter over the context, three quarters of it for answers.
+QUEUE_RECORD, QUEUE_ANSWER, QUEUE_SHARE = 320, 192, 10
+
+
+def review_findings(spark, d):
+    """(finding, priority, record_id, related_id, field, score, reason): duplicates, held-out overlap and severe sizes.
+
+    Equal normal forms and contained prompts or test code are critical, all else is for review; informational terms are
+    left out. A class of copies points to its least id, so copies are rows, not pairs."""
+    none = F.lit(None).cast("string")
+    row = lambda df, finding, priority, record, related, field, score, reason: df.select(F.lit(finding).alias("finding"), F.lit(priority).alias("priority") if isinstance(priority, str) else priority.alias("priority"), F.col(record).alias("record_id"), (F.col(related) if isinstance(related, str) else related).alias("related_id"), field.alias("field"), score.cast("double").alias("score"), reason.alias("reason"))
+    same = row(duplicate_classes(spark, d).where("id <> class_id"), "duplicate", "critical", "id", "class_id", F.col("field"), F.lit(1.0), F.lit("equal normal form"))
+    near = row(duplicate_links(spark, d), "duplicate", "review", "class_a", "class_b", F.col("field"), F.col("score"), F.lit("similar trigrams"))
+    leak = heldout_contained(spark, d).where("field <> 'required_or_forbidden_term'")
+    leak = row(leak, "eval_leakage", F.when(F.col("field") == "test_fixture_line", "review").otherwise("critical"), "record_id", "eval_id", F.col("field"), F.lit(1.0), F.lit("contained"))
+    alike = row(heldout_similar(spark, d), "eval_leakage", "review", "id", "eval_id", F.col("field"), F.col("score"), F.lit("similar trigrams"))
+    rules = R.reasons((F.col("full_record_tokens") > QUEUE_RECORD, "long record"), (F.col("answer_tokens") > QUEUE_ANSWER, "long answer"), (F.col("supervised_percentage") < QUEUE_SHARE, "little supervision"))
+    long = record_lengths(spark, d).select("id", "full_record_tokens", F.array_join(rules, "; ").alias("why")).where("why <> ''")
+    long = row(long, "context_or_supervision", "review", "id", none, F.lit("full_record_tokens"), F.col("full_record_tokens"), F.col("why"))
+    return same.unionByName(near).unionByName(leak).unionByName(alike).unionByName(long)
+
+
 def review_queue(spark, d):
-    """Findings of three kinds in one list with a priority: duplicates, held-out overlap, length outliers."""
-    dup = duplicate_classes(spark, d).where("id <> class_id").select(F.lit("duplicate").alias("finding"), F.lit("high").alias("priority"), F.col("id").alias("record_id"), F.col("class_id").alias("related_id"), "field")
-    leak = heldout_contained(spark, d).select(F.lit("leakage").alias("finding"), F.when(F.col("field").isin("prompt", "test_code"), "critical").when(F.col("field") == "test_fixture_line", "review").otherwise("informational").alias("priority"), "record_id", F.col("eval_id").alias("related_id"), "field")
-    long = length_outliers(spark, d).select(F.lit("length").alias("finding"), F.lit("medium").alias("priority"), F.col("id").alias("record_id"), F.lit(None).cast("string").alias("related_id"), F.lit("full_record").alias("field"))
-    return dup.unionByName(leak).unionByName(long)
+    """`review_findings` with answers of one code structure, blank reviewer columns and an id for each finding, in the
+    order of priority, kind and ids."""
+    shape = structure_classes(spark, d).where("id <> class_id").select(F.lit("duplicate").alias("finding"), F.lit("review").alias("priority"), F.col("id").alias("record_id"), F.col("class_id").alias("related_id"), F.lit("answer").alias("field"), F.lit(1.0).alias("score"), F.lit("equal code structure").alias("reason"))
+    rows = review_findings(spark, d).unionByName(shape)
+    blank = [F.lit("").alias(c) for c in ("reviewer_decision", "action", "notes")]
+    return rows.select(F.concat_ws(":", "finding", "record_id", "related_id", "field", "reason").alias("finding_id"), *rows.columns, *blank).orderBy(F.when(F.col("priority") == "critical", 0).otherwise(1), "finding", "record_id", "related_id", "field")
 
 
 def path_profile(spark, d):
@@ -415,6 +419,12 @@ def _pairs_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+_SIDE = lambda what, fields, least: f"""SELECT id, eval_id, '{what}' AS field, round(max(score), 6) AS score FROM (
+  WITH q AS (SELECT id AS eval_id, unnest({T.sql_windows(_GRAM(_N(what)), 3)}) AS g FROM {HELDOUT} WHERE id IS NOT NULL), r AS ({" UNION ALL ".join(f"SELECT id, '{f}' AS f, unnest({T.sql_windows(_GRAM(_N(f)), 3)}) AS g FROM {_REC}" for f in fields)}),
+  m AS (SELECT eval_id, count(*) AS m FROM q GROUP BY 1), n AS (SELECT id, f, count(*) AS n FROM r GROUP BY ALL), i AS (SELECT id, f, eval_id, count(*) AS i FROM r JOIN q USING (g) GROUP BY ALL)
+  SELECT id, eval_id, i / (n + m - i) AS score FROM i JOIN n USING (id, f) JOIN m USING (eval_id)) WHERE score >= {least} GROUP BY id, eval_id"""
+_SIMILAR = " UNION ALL ".join(_SIDE(what, fields, least) for what, least, fields in SIMILAR)
+_QUEUE = R.sql_reasons((f"full_record_tokens > {QUEUE_RECORD}", "long record"), (f"answer_tokens > {QUEUE_ANSWER}", "long answer"), (f"supervised_percentage < {QUEUE_SHARE}", "little supervision"))
 _WG = lambda c: T.sql_windows(f"string_split({T.sql_words(c)}, ' ')", 3)
 SQL = {
     "instruction_render": f"SELECT id, md5(r) AS rendered_md5, length(r) AS chars FROM (SELECT id, {_RENDER} AS r FROM {_REC})",
@@ -434,10 +444,10 @@ SQL = {
     "duplicate_links": _pairs_sql(),
     "duplicate_classes": _CLASSES,
     "heldout_contained": _CONTAINED,
-    "heldout_similar": f"WITH q AS (SELECT id AS eval_id, unnest({T.sql_windows(_GRAM(_N('prompt')), 3)}) AS g FROM {HELDOUT} WHERE id IS NOT NULL), r AS (SELECT id, unnest({T.sql_windows(_GRAM(_N('instruction')), 3)}) AS g FROM {_REC}), m AS (SELECT eval_id, count(*) AS m FROM q GROUP BY 1), n AS (SELECT id, count(*) AS n FROM r GROUP BY 1), i AS (SELECT id, eval_id, count(*) AS i FROM r JOIN q USING (g) GROUP BY ALL) SELECT id, eval_id, round(i / (n + m - i), 6) AS score FROM i JOIN n USING (id) JOIN m USING (eval_id) WHERE i / (n + m - i) >= 0.42",
+    "heldout_similar": _SIMILAR,
     "nearest_heldout": f"""WITH p AS (SELECT id AS eval_id, {T.sql_words(_N('prompt'))} AS v, {_WG(_N('prompt'))} AS w FROM {HELDOUT} WHERE id IS NOT NULL), a AS (SELECT id, {T.sql_words(_N('instruction'))} AS v, {_WG(_N('instruction'))} AS w FROM {_REC}), q AS (SELECT eval_id, len(w) AS m, unnest(w) AS g FROM p), r AS (SELECT id, len(w) AS n, unnest(w) AS g FROM a),
   s AS (SELECT eval_id, id, count(*) / (any_value(n) + any_value(m) - count(*)) AS score FROM r JOIN q USING (g) GROUP BY ALL), b AS (SELECT eval_id, max(score) AS score FROM s GROUP BY 1), t AS (SELECT eval_id, score, min(id) AS id FROM s JOIN b USING (eval_id, score) GROUP BY ALL) SELECT p.eval_id, t.id, round(t.score, 9) AS score, p.v IN (SELECT v FROM a) AS exact FROM p LEFT JOIN t USING (eval_id)""",
     "inventory_match": f"WITH a AS (SELECT DISTINCT id FROM {ACCEPTED} WHERE id IS NOT NULL), b AS (SELECT DISTINCT record_id AS id FROM {INVENTORY} WHERE record_id IS NOT NULL) SELECT id, 'accepted_only' AS side FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT id, 'inventory_only' FROM b WHERE id NOT IN (SELECT id FROM a)",
-    "review_queue": f"SELECT 'duplicate' AS finding, 'high' AS priority, id AS record_id, class_id AS related_id, field FROM ({_CLASSES}) WHERE id <> class_id UNION ALL SELECT 'leakage', CASE WHEN field IN ('prompt', 'test_code') THEN 'critical' WHEN field = 'test_fixture_line' THEN 'review' ELSE 'informational' END, record_id, eval_id, field FROM ({_CONTAINED}) UNION ALL SELECT 'length', 'medium', id, NULL, 'full_record' FROM ({_OUTLIER})",
+    "review_findings": f"SELECT 'duplicate' AS finding, 'critical' AS priority, id AS record_id, class_id AS related_id, field, 1.0::DOUBLE AS score, 'equal normal form' AS reason FROM ({_CLASSES}) WHERE id <> class_id UNION ALL SELECT 'duplicate', 'review', class_a, class_b, field, score::DOUBLE, 'similar trigrams' FROM ({_pairs_sql()}) UNION ALL SELECT 'eval_leakage', CASE WHEN field = 'test_fixture_line' THEN 'review' ELSE 'critical' END, record_id, eval_id, field, 1.0, 'contained' FROM ({_CONTAINED}) WHERE field <> 'required_or_forbidden_term' UNION ALL SELECT 'eval_leakage', 'review', id, eval_id, field, score, 'similar trigrams' FROM ({_SIMILAR}) UNION ALL SELECT 'context_or_supervision', 'review', id, NULL, 'full_record_tokens', full_record_tokens::DOUBLE, why FROM (SELECT id, full_record_tokens, array_to_string({_QUEUE}, '; ') AS why FROM {_LENGTHS}) WHERE why <> \'\'",
 }
-QUERIES = {k: globals()[k] for k in SQL} | {"structure_classes": structure_classes, "path_profile": path_profile}
+QUERIES = {k: globals()[k] for k in SQL} | {"structure_classes": structure_classes, "review_queue": review_queue, "path_profile": path_profile}

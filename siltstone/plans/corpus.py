@@ -14,6 +14,8 @@ CONTEXTS = (128, 192, 256, 512)
 #: Wanted share of each language, and the tolerance of a gap.
 SHARES = {"python": 0.30, "typescript": 0.20, "javascript": 0.175, "powershell": 0.125, "sql": 0.125, "text": 0.075}
 TOP = 40
+#: Columns that hold texts, the preferred one first, and the least length of a text in another column.
+PREFERRED, OTHERS, LONG = ("text",), ("family_id", "status", "source"), 240
 
 
 def docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -81,7 +83,7 @@ def reason_counts(spark, d):
     """The most frequent rejection reasons, and the rest as one row."""
     r = row_quality(spark, d).select(F.explode(F.split("reject", ",")).alias("reason")).where("reason <> ''").groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
     ranked = r.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("records"), "reason")))
-    return ranked.groupBy(F.when(F.col("rank") <= 3, F.col("reason")).otherwise("other_reasons_compacted").alias("reason")).agg(F.sum("records").alias("records"))
+    return ranked.groupBy(F.when(F.col("rank") <= TOP, F.col("reason")).otherwise("other_reasons_compacted").alias("reason")).agg(F.sum("records").alias("records"))
 
 
 def length_stats(spark, d):
@@ -141,10 +143,10 @@ def repetition_diag(spark, d):
 
 
 def choose_text(spark, d):
-    """The first non-blank of preferred columns, else the first long one; here title-like columns before the text."""
-    t = table(spark, d, "documents", "doc_id", "status", "language", "text")
-    preferred = [F.when(T.strip(c) != "", F.lit(c)) for c in ("status", "language")]
-    return t.select("doc_id", F.coalesce(*preferred, F.when(F.char_length(T.strip("text")) >= 240, F.lit("text"))).alias("column"))
+    """Which column holds a row's text: the first non-blank preferred one, else the first of at least 240 characters."""
+    t = table(spark, d, "documents", "doc_id", *PREFERRED, *OTHERS)
+    first = [F.when(T.strip(c) != "", F.lit(c)) for c in PREFERRED] + [F.when(F.char_length(T.strip(c)) >= LONG, F.lit(c)) for c in OTHERS]
+    return t.select("doc_id", F.coalesce(*first).alias("column"))
 
 
 _R1, _R2 = R.sql_quality("text", "coalesce(lower(trim(language)) = 'text', true)")
@@ -173,7 +175,7 @@ SQL = {
     "row_quality": f"SELECT * FROM {_ROWQ}",
     "secret_flags": _flag_sql(),
     "status_counts": f"SELECT source, status, count(*) AS records, sum(k)::BIGINT AS tokens, grouping(source, status) AS level FROM (SELECT lower(trim(source)) AS source, coalesce(status, 'none') AS status, {T.sql_lexical_size('text')} AS k FROM {DOCS}) GROUP BY ROLLUP (source, status)",
-    "reason_counts": f"SELECT CASE WHEN rank <= 3 THEN reason ELSE 'other_reasons_compacted' END AS reason, sum(records)::BIGINT AS records FROM (SELECT reason, records, row_number() OVER (ORDER BY records DESC, reason) AS rank FROM (SELECT reason, count(*) AS records FROM (SELECT unnest(string_split(reject, ',')) AS reason FROM {_ROWQ}) WHERE reason <> '' GROUP BY reason)) GROUP BY 1",
+    "reason_counts": f"SELECT CASE WHEN rank <= {TOP} THEN reason ELSE 'other_reasons_compacted' END AS reason, sum(records)::BIGINT AS records FROM (SELECT reason, records, row_number() OVER (ORDER BY records DESC, reason) AS rank FROM (SELECT reason, count(*) AS records FROM (SELECT unnest(string_split(reject, ',')) AS reason FROM {_ROWQ}) WHERE reason <> '' GROUP BY reason)) GROUP BY 1",
     "length_stats": f"SELECT source, count(*) AS records, min(k) AS least, max(k) AS most, round(avg(k), 3) AS mean, round(quantile_cont(k, 0.5), 3) AS median, round(quantile_cont(k, 0.9), 3) AS p90, round(quantile_cont(k, 0.95), 3) AS p95 FROM (SELECT lower(trim(source)) AS source, {T.sql_lexical_size('text')} AS k FROM {DOCS}) GROUP BY source",
     "context_fit": f"WITH k AS (SELECT {T.sql_lexical_size('text')} AS k FROM {DOCS}) SELECT c AS context, count(*) FILTER (k <= c) AS fits, count(*) FILTER (k > c) AS exceeds FROM k, (SELECT unnest([128, 192, 256, 512]) AS c) GROUP BY c",
     "lang_source_matrix": "SELECT lower(trim(language)) AS language, lower(trim(source)) AS source, count(*) AS records FROM documents GROUP BY 1, 2",
@@ -187,6 +189,6 @@ SQL = {
   e AS (SELECT doc_id, i, k[i] AS w FROM k, range(1, len(k) + 1) t(i)), b AS (SELECT doc_id, i, CASE WHEN w = lag(w) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS s FROM e),
   g AS (SELECT doc_id, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b), r AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, run, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id)
   SELECT doc_id, len(k) AS tokens, round(CASE WHEN len(k) = 0 THEN 0.0 ELSE len(list_distinct(k)) / len(k) END, 9) AS unique_ratio, coalesce(longest, 0) AS longest_run FROM k LEFT JOIN r USING (doc_id)""",
-    "choose_text": f"SELECT doc_id, CASE WHEN {T.sql_strip('status')} <> '' THEN 'status' WHEN {T.sql_strip('language')} <> '' THEN 'language' WHEN length({T.sql_strip('text')}) >= 240 THEN 'text' END AS \"column\" FROM documents",
+    "choose_text": "SELECT doc_id, CASE " + " ".join(f"WHEN {T.sql_strip(c)} <> '' THEN '{c}'" for c in PREFERRED) + " " + " ".join(f"WHEN length({T.sql_strip(c)}) >= {LONG} THEN '{c}'" for c in OTHERS) + " END AS \"column\" FROM documents",
 }
 QUERIES = {k: globals()[k] for k in SQL}

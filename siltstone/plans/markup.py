@@ -12,9 +12,12 @@ from siltstone.functions import markup as M
 from siltstone.functions import rules as R
 from siltstone.functions import text as T
 from siltstone.functions.fingerprint import simhash64
+from siltstone.operators.containment import contained
+from siltstone.plans import audit
 from siltstone.plans.corpus import DOCS, docs
 from siltstone.plans.staging import Stage
-from siltstone.sources.tables import label
+from siltstone.sources.readers import protected_items
+from siltstone.sources.tables import label, table
 
 LEAST, MOST, SEGMENTS = 90, 420, 4
 TOKENIZERS = "/opt/tokenizers"
@@ -98,50 +101,63 @@ def title_families(spark, d):
 
 
 def corpus_contains_prompt(spark, d):
-    """(eval_id, documents): held-out prompts whose normal form stands in a document's, searched by one automaton."""
-    from siltstone.sources.tables import table
+    """(eval_id, documents): held-out prompts whose normal form stands in a document's."""
+    h = table(spark, d, audit.HELDOUT, "id", "prompt").where("id is not null and prompt is not null").select(F.col("id").alias("eval_id"), T.normalize_text("prompt").alias("s"))
+    texts = docs(spark, d, "text").select(F.col("doc_id").cast("string").alias("key"), T.normalize_text("text").alias("t"))
+    return contained(spark, texts, h).groupBy("eval_id").agg(F.count(F.lit(1)).alias("documents"))
 
-    h = table(spark, d, "phase3_5b_heldout_v1", "id", "prompt").where("id is not null and prompt is not null").select("id", T.normalize_text("prompt").alias("v")).where("v <> ''")
-    rows = h.limit(1_000_001).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("the held-out set is too large for one automaton")
-    sent = spark.sparkContext.broadcast([(r["id"], r["v"]) for r in rows])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        by: dict[str, list[str]] = {}
-        for i, v in sent.value:
-            by.setdefault(v, []).append(i)
-        automaton = ahocorasick.Automaton()
-        for v in by:
-            automaton.add_word(v, v)
-        automaton.make_automaton()
-        for b in batches:
-            yield pd.DataFrame({"eval_id": [i for t in b["t"] for v in {v for _, v in automaton.iter(t)} for i in by[v]] if by else []}, dtype=object)
+#: Text columns of the held-out rows and of accepted records, and their lists of texts.
+EVAL_TEXTS, EVAL_LISTS = ("id", "language", "category", "difficulty", "prompt", "test_code", "expected_behavior_notes", "suite", "split"), ("required_terms", "forbidden_terms")
+RECORD_TEXTS, RECORD_LISTS = ("instruction", "answer", "bad_code", "reasoning"), ("constraints", "edge_cases")
 
-    hits = docs(spark, d, "text").select(T.normalize_text("text").alias("t")).mapInPandas(run, "eval_id string")
-    return hits.groupBy("eval_id").agg(F.count(F.lit(1)).alias("documents"))
 
+def _strings(rows: DataFrame, kind: str, texts, lists) -> DataFrame:
+    """(protected_id, text) of every text and list item of rows with an id."""
+    named = [F.array(F.struct(F.lit(c).alias("field"), F.col(c).alias("text"))) for c in texts]
+    items = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.struct(F.lit(c).alias("field"), x.alias("text")))
+    named += map(items, lists)
+    return rows.select("id", F.explode(F.concat(*named)).alias("x")).select(F.concat_ws(":", F.lit(kind), "id", "x.field").alias("protected_id"), "x.text").where("text is not null")
 
-def leak_findings(spark, d):
-    """(doc_id, eval_id, severity, overlap, containment): five-token runs of held-out prompts in documents; contained
-    prompts and near-complete overlap are critical, partial overlap is for review."""
-    from siltstone.sources.tables import table
 
+def leak_findings(spark, d):
+    """(doc_id, protected_id, source_kind, severity, overlap, containment): protected texts in documents, by their runs of
+    five tokens and by containment.
+
+    Protected are all strings of held-out rows from 24 characters on and the fields of accepted records from 60 on, each
+    normal form once. A held-out text that is contained, or whose runs are there to 80 % (8 at least), is critical; from
+    35 % on it is for review. A record's field is for review if contained (from 120 characters on) or there to 80 % (10
+    runs at least). Texts without runs are searched for by automata. Held-out runs meet all documents that have them; a
+    record's field meets documents through its rarest runs only, of which any such document has one.
+    """
+    stage = Stage(spark, "leaks")
     grams = lambda c: T.window_hashes(T.lexical_tokens(c), 5)
-    q = table(spark, d, "phase3_5b_heldout_v1", "id", "prompt").where("id is not null and prompt is not null").select(F.col("id").alias("eval_id"), T.normalize_text("prompt").alias("v"), grams("prompt").alias("p"))
-    q = Stage(spark, "leaks").put(q, "prompts")
-    runs = docs(spark, d, "text").select("doc_id", F.explode(grams("text")).alias("g"))
-    hits = runs.join(F.broadcast(q.select("eval_id", F.size("p").alias("m"), F.explode("p").alias("g"))), "g").groupBy("doc_id", "eval_id", "m").agg(F.count(F.lit(1)).alias("overlap"))
-    full = hits.join(docs(spark, d, "text").select("doc_id", T.normalize_text("text").alias("t")), "doc_id").join(F.broadcast(q.select("eval_id", "v")), "eval_id")
-    part = F.col("overlap") / F.col("m")
-    severity = F.when(F.col("t").contains(F.col("v")), "critical").when((F.col("overlap") >= 8) & (part >= 0.8), "critical").when((F.col("overlap") >= 8) & (part >= 0.35), "review")
-    return full.select("doc_id", "eval_id", severity.alias("severity"), "overlap", F.round(part, 6).alias("containment")).where("severity is not null")
+    held = table(spark, d, audit.HELDOUT, *EVAL_TEXTS, *EVAL_LISTS).where("id is not null")
+    mine = audit.records(spark, d, *RECORD_TEXTS, *RECORD_LISTS)
+    items = stage.put(protected_items(_strings(held, "evaluation", EVAL_TEXTS, EVAL_LISTS), _strings(mine, "instruction", RECORD_TEXTS, RECORD_LISTS)).withColumn("p", grams("text")).drop("text"), "items")
+    pages = stage.put(docs(spark, d, "text").select("doc_id", T.normalize_text("text").alias("t"), grams("text").alias("g")), "pages")
+    runs = pages.select("doc_id", F.explode("g").alias("run"))
+    exam, field = items.where("source_kind = 'evaluation'"), items.where("source_kind = 'instruction'")
+    met = runs.join(exam.select("protected_id", F.explode("p").alias("run")), "run").select("doc_id", "protected_id").distinct()
+    # Of a field's runs, in the order of how many documents have them, one of the first fifth and two must be in any match.
+    own = field.select("protected_id", F.size("p").alias("m"), F.explode("p").alias("run"))
+    often = runs.join(own.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("df"))
+    ordered = own.join(often, "run", "left").groupBy("protected_id", "m").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run"))).alias("c"))
+    first = F.slice("c", F.lit(1), F.greatest(F.lit(3), F.floor(F.col("m") / 5) + 1).cast("int"))
+    probes = ordered.select("protected_id", F.explode(first).alias("x")).where("x.df > 0").select("protected_id", F.col("x.run").alias("run"))
+    met = met.union(runs.join(probes, "run").select("doc_id", "protected_id").distinct())
+    short = contained(spark, pages.select(F.col("doc_id").cast("string").alias("key"), "t"), items.where("size(p) = 0").select("protected_id", F.col("normalized").alias("s")))
+    met = stage.put(met.union(short.select(F.col("key").cast("long").alias("doc_id"), "protected_id")).distinct(), "met")
+    full = met.join(items, "protected_id").join(pages, "doc_id").withColumn("overlap", F.size(F.array_intersect("g", "p")).cast("long")).withColumn("exact", F.col("t").contains(F.col("normalized")))
+    part = F.coalesce(F.try_divide("overlap", F.size("p")), F.lit(0.0))
+    exam_rule = F.when(F.col("exact") | (F.col("overlap") >= 8) & (part >= 0.8), "critical").when((F.col("overlap") >= 8) & (part >= 0.35), "review")
+    field_rule = F.when(F.col("exact") & (F.char_length("normalized") >= 120) | (F.col("overlap") >= 10) & (part >= 0.8), "review")
+    severity = F.when(F.col("source_kind") == "evaluation", exam_rule).otherwise(field_rule)
+    return full.select("doc_id", "protected_id", "source_kind", severity.alias("severity"), "overlap", F.round(part, 6).alias("containment")).where("severity is not null")
 
 
 def leak_free(spark, d):
-    """Ids of the documents without a blocking finding."""
+    """Ids of the documents without a finding."""
     return docs(spark, d, "text").select("doc_id").join(leak_findings(spark, d).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
@@ -231,9 +247,13 @@ _SEG = R.sql_reasons(
 _DIGITS = "len(list_filter(k, lambda x: regexp_full_match(x, '[0-9]+')))"
 _SENT = "len(list_filter(string_split(regexp_replace(array_to_string(parts, chr(2)), '([.!?])[" + T.WS + "]+', '\\1' || chr(2), 'g'), chr(2)), lambda s: regexp_matches(" + T.sql_strip("s") + ", '[.!?][''\")\\]]?$')))"
 _RUNS5 = lambda c: T.sql_windows(T.sql_lexical(c), 5)
-_LEAKS = f"""WITH q AS (SELECT id AS eval_id, {T.sql_normalize('prompt')} AS v, {_RUNS5('prompt')} AS p FROM phase3_5b_heldout_v1 WHERE id IS NOT NULL AND prompt IS NOT NULL), x AS (SELECT eval_id, v, len(p) AS m, unnest(p) AS g FROM q), k AS (SELECT doc_id, {T.sql_normalize('text')} AS t, {T.sql_lexical('text')} AS k FROM {DOCS}),
-  r AS (SELECT doc_id, unnest({T.sql_windows('k', 5)}) AS g FROM k), h AS (SELECT doc_id, eval_id, v, m, count(*) AS overlap FROM r JOIN x USING (g) GROUP BY ALL),
-  f AS (SELECT doc_id, eval_id, CASE WHEN contains(t, v) THEN 'critical' WHEN overlap >= 8 AND overlap / m >= 0.8 THEN 'critical' WHEN overlap >= 8 AND overlap / m >= 0.35 THEN 'review' END AS severity, overlap, round(overlap / m, 6) AS containment FROM h JOIN k USING (doc_id))"""
+_EACH = lambda kind, texts, lists, source: " UNION ALL ".join([f"SELECT '{kind}' AS source_kind, '{kind}:' || id || ':{c}' AS protected_id, {c} AS text FROM {source} WHERE {c} IS NOT NULL" for c in texts] + [f"SELECT '{kind}', '{kind}:' || id || ':{c}', x FROM (SELECT id, unnest({c}) AS x FROM {source}) WHERE x IS NOT NULL" for c in lists])
+_LEAKS = f"""WITH e AS ({_EACH('evaluation', EVAL_TEXTS, EVAL_LISTS, f"(SELECT * FROM {audit.HELDOUT} WHERE id IS NOT NULL)")} UNION ALL {_EACH('instruction', RECORD_TEXTS, RECORD_LISTS, audit._REC)}),
+  i AS (SELECT source_kind, v, min(protected_id) AS protected_id, arg_min(text, protected_id) AS text FROM (SELECT *, {T.sql_normalize('text')} AS v FROM e) WHERE length(v) >= CASE source_kind WHEN 'evaluation' THEN 24 ELSE 60 END GROUP BY ALL),
+  q AS (SELECT source_kind, protected_id, v, {_RUNS5('text')} AS p FROM i), x AS (SELECT protected_id, source_kind, v, len(p) AS m, unnest(p) AS g FROM q), k AS (SELECT doc_id, {T.sql_normalize('text')} AS t, {T.sql_lexical('text')} AS k FROM {DOCS}),
+  r AS (SELECT doc_id, unnest({T.sql_windows('k', 5)}) AS g FROM k), h AS (SELECT doc_id, protected_id, source_kind, v, m, count(*) AS overlap FROM r JOIN x USING (g) GROUP BY ALL UNION ALL SELECT doc_id, protected_id, source_kind, v, 1, 0 FROM q JOIN k ON contains(k.t, q.v) WHERE len(p) = 0),
+  j AS (SELECT doc_id, protected_id, source_kind, length(v) AS chars, overlap, overlap / m AS part, contains(t, v) AS exact FROM h JOIN k USING (doc_id)),
+  f AS (SELECT doc_id, protected_id, source_kind, CASE WHEN source_kind = 'evaluation' THEN CASE WHEN exact OR overlap >= 8 AND part >= 0.8 THEN 'critical' WHEN overlap >= 8 AND part >= 0.35 THEN 'review' END WHEN exact AND chars >= 120 OR overlap >= 10 AND part >= 0.8 THEN 'review' END AS severity, overlap, round(part, 6) AS containment FROM j)"""
 SQL = {
     "segment_rules": f"SELECT doc_id, array_to_string({_SEG}, ',') AS reasons FROM (SELECT doc_id, t, greatest(1, len(k)) AS n, {_DIGITS} AS digits FROM (SELECT doc_id, t, {_K('t')} AS k FROM (SELECT doc_id, {_T} AS t FROM {DOCS})))",
     "segment_score": "SELECT doc_id, (CASE WHEN len(k) BETWEEN 140 AND 420 THEN 20 ELSE 0 END) + (CASE WHEN len(parts) >= 2 THEN 15 ELSE 0 END) + (CASE WHEN " + _SENT + " >= 3 THEN 15 ELSE 0 END) + (CASE WHEN " + " OR ".join(f"contains(low, '{x}')" for x in TECHNICAL) + f" THEN 12 ELSE 0 END) + (CASE WHEN regexp_matches(title, '{LIST_TITLE}') THEN -30 ELSE 0 END) + (CASE WHEN {_DIGITS} / greatest(1, len(k)) > 0.12 THEN -15 ELSE 0 END) + "

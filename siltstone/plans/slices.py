@@ -55,7 +55,7 @@ def family_split(spark, d):
     r = records(spark, d).where("source_id is not null")
     fam = Stage(spark, "families").put(r.groupBy("source_id", F.coalesce("family_id", "record_id").alias("family")).agg(F.sum(F.coalesce("actual_token_count", F.lit(0))).alias("tokens")).withColumn("rank", shared_rank(str(SEED), F.col("source_id"), F.col("family"))), "sums")
     totals = fam.groupBy("source_id").agg(F.sum("tokens").alias("all"), F.count(F.lit(1)).alias("families"))
-    placed = running_total(fam, ["source_id"], "rank", ["family"], "tokens", "before").join(F.broadcast(totals), "source_id")
+    placed = running_total(fam, ["source_id"], "rank", ["family"], "tokens", "before").join(totals, "source_id")
     taken = (F.col("families") >= 2) & (F.col("before") < F.greatest(F.lit(1), F.bround(F.col("all") * VALIDATION)))
     return placed.select("source_id", "family", F.when(taken, "validation").otherwise("train").alias("split"))
 
@@ -78,7 +78,7 @@ def review_even(spark, d):
     k = REVIEW_ROWS - 1
     step = F.col("rank") - 1
     at = F.exists(F.sequence(F.lit(0), F.lit(k)), lambda i: F.bround(i * (F.col("n") - 1) / F.lit(k)) == step)
-    return ranked.join(F.broadcast(n), "source_id").where((F.col("n") <= REVIEW_ROWS) | at).select("source_id", "record_id", "rank")
+    return ranked.join(n, "source_id").where((F.col("n") <= REVIEW_ROWS) | at).select("source_id", "record_id", "rank")
 
 
 def review_round_robin(spark, d, size: int = 40):
@@ -138,10 +138,12 @@ def source_summary(spark, d):
 
 
 def manifest_digest(spark, d):
-    """One digest of a source's records: of their sorted ids and hashes, folded by range so no list is gathered."""
+    """One digest of a source's records as a multiset of ids and hashes: four numbers from each, added up and
+    folded by exclusive or, with their number. Equal rows do not cancel, and no list is gathered."""
     r = records(spark, d).where("source_id is not null").select("source_id", F.sha2(F.concat_ws("\x1f", "record_id", F.coalesce("normalized_sha256", F.lit("-"))), 256).alias("h"))
-    parts = [F.bit_xor(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("long")).alias(f"digest_{i}") for i in range(4)]
-    return r.groupBy("source_id").agg(F.count(F.lit(1)).alias("records"), *parts)
+    part = lambda i: F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("long")
+    folds = [F.bit_xor(part(i)).alias(f"digest_{i}") for i in range(4)] + [F.sum(part(i).cast("decimal(38,0)")).cast("string").alias(f"sum_{i}") for i in range(4)]
+    return r.groupBy("source_id").agg(F.count(F.lit(1)).alias("records"), *folds)
 
 
 def verify_checks(spark, d):
@@ -175,7 +177,7 @@ def set_operations(spark, d):
 
 
 def learning_rates(spark, d):
-    """Warm-up and cosine schedule at each hundredth step, and the closed-form parameter count of three vocabularies."""
+    """Warm-up and cosine schedule at each hundredth step."""
     steps = spark.range(0, 2001, 100).select(F.col("id").alias("step"))
     p = (F.col("step") - 100) / 1900
     rate = F.when(F.col("step") <= 100, F.lit(0.0003) * F.col("step") / 100).otherwise(F.lit(0.00003) + 0.5 * (1 + F.cos(F.pi() * F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))) * (0.0003 - 0.00003))
@@ -203,7 +205,7 @@ SQL = {
     "candidate_exclusions": f"WITH r AS (SELECT *, CASE WHEN normalized_sha256 IS NOT NULL THEN min(record_id) OVER (PARTITION BY normalized_sha256) END AS first FROM {_REC}) SELECT CASE WHEN group_id IS NULL THEN 'group_not_allowed' WHEN record_id > first THEN 'exact_duplicate' WHEN coalesce(actual_token_count, 0) < 80 THEN 'record_too_short' WHEN actual_token_count > 400 THEN 'record_too_long' ELSE 'candidate' END AS reason, count(*) AS records, sum(coalesce(actual_token_count, 0))::BIGINT AS tokens FROM r GROUP BY 1",
     "group_totals": f"SELECT group_id, source_id, count(*) AS records, sum(actual_token_count)::BIGINT AS tokens, count(DISTINCT family_id) AS families, grouping(group_id, source_id) AS level FROM {_REC} GROUP BY ROLLUP (group_id, source_id)",
     "source_summary": f"WITH h AS (SELECT source_id, count(*) AS records, sum(actual_token_count) AS tokens FROM {_REC} WHERE source_id IS NOT NULL GROUP BY 1) SELECT source_id, target_tokens, coalesce(records, 0) AS records, coalesce(tokens, 0)::BIGINT AS tokens, CASE WHEN records IS NULL THEN 'without_records' ELSE 'present' END AS state, round(tokens / nullif(target_tokens, 0), 9) AS ratio FROM {_SRC} LEFT JOIN h USING (source_id)",
-    "manifest_digest": f"SELECT source_id, count(*) AS records, " + ", ".join(f"bit_xor(('0x' || substr(h, {1 + 15 * i}, 15))::UBIGINT::BIGINT) AS digest_{i}" for i in range(4)) + f" FROM (SELECT source_id, sha256(record_id || chr(31) || coalesce(normalized_sha256, '-')) AS h FROM {_REC} WHERE source_id IS NOT NULL) GROUP BY source_id",
+    "manifest_digest": f"SELECT source_id, count(*) AS records, " + ", ".join(f"bit_xor(('0x' || substr(h, {1 + 15 * i}, 15))::UBIGINT::BIGINT) AS digest_{i}, sum(('0x' || substr(h, {1 + 15 * i}, 15))::UBIGINT::HUGEINT)::VARCHAR AS sum_{i}" for i in range(4)) + f" FROM (SELECT source_id, sha256(record_id || chr(31) || coalesce(normalized_sha256, '-')) AS h FROM {_REC} WHERE source_id IS NOT NULL) GROUP BY source_id",
     "verify_checks": f"""SELECT 'record_without_id' AS "check", count(*) FILTER (record_id IS NULL) AS bad FROM {SLICE} UNION ALL SELECT 'record_without_family', count(*) FILTER (family_id IS NULL) FROM {SLICE} UNION ALL SELECT 'record_without_source', count(*) FILTER (source_id IS NULL) FROM {SLICE}
   UNION ALL SELECT 'bad_normalized_hash', count(*) FILTER (normalized_sha256 IS NULL OR NOT regexp_matches(normalized_sha256, '^[0-9a-f]{{64}}$')) FROM {SLICE} UNION ALL SELECT 'bad_template_hash', count(*) FILTER (template_sha256 IS NULL OR NOT regexp_matches(template_sha256, '^[0-9a-f]{{64}}$')) FROM {SLICE}
   UNION ALL SELECT 'bad_simhash', count(*) FILTER (simhash64 IS NULL OR NOT regexp_matches(simhash64, '^[0-9a-f]{{16}}$')) FROM {SLICE} UNION ALL SELECT 'no_tokens', count(*) FILTER (coalesce(actual_token_count, 0) <= 0) FROM {SLICE}
