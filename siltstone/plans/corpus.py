@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import rules as R
@@ -79,11 +79,17 @@ def status_counts(spark, d):
     return t.rollup("source", "status").agg(F.count(F.lit(1)).alias("records"), F.sum("k").alias("tokens"), F.grouping_id().alias("level"))
 
 
+def compact_counts(counts: DataFrame, top: int = TOP) -> DataFrame:
+    """(reason, records) of the `top` most frequent reasons, equal ones by name, and the rest as one row."""
+    first = counts.orderBy(F.desc("records"), "reason").limit(top).select("reason", F.lit(True).alias("shown"))
+    named = counts.join(first, "reason", "left")
+    return named.groupBy(F.when(F.col("shown"), F.col("reason")).otherwise("other_reasons_compacted").alias("reason")).agg(F.sum("records").alias("records"))
+
+
 def reason_counts(spark, d):
     """The most frequent rejection reasons, and the rest as one row."""
     r = row_quality(spark, d).select(F.explode(F.split("reject", ",")).alias("reason")).where("reason <> ''").groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
-    ranked = r.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("records"), "reason")))
-    return ranked.groupBy(F.when(F.col("rank") <= TOP, F.col("reason")).otherwise("other_reasons_compacted").alias("reason")).agg(F.sum("records").alias("records"))
+    return compact_counts(r)
 
 
 def length_stats(spark, d):
