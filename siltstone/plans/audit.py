@@ -62,7 +62,7 @@ LINT_TAGS = ("instruction", "constraints", "answer", "bad_code", "reasoning", "f
 def records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Latest row of each id: its `columns`, labels trimmed in lower case."""
     rows = table(spark, d, ACCEPTED, "id", "received_at", *columns).where("id is not null")
-    last = rows.groupBy("id").agg(F.max_by(F.struct(*columns), "received_at").alias("r"))
+    last = rows.groupBy("id").agg(F.max_by(F.struct(*columns), F.coalesce(F.unix_micros("received_at"), F.lit(-1))).alias("r"))  # a row without a time is the oldest
     return last.select("id", *[label(f"r.{c}").alias(c) if c in ("language", "category", "difficulty") else F.col(f"r.{c}").alias(c) for c in columns])
 
 
@@ -360,7 +360,7 @@ def path_profile(spark, d):
 
 def _latest(table_: str, key: str, at: str, columns: tuple) -> str:
     pack = ", ".join(f"'{c}': {c}" for c in columns)
-    return f"(SELECT {key}, " + ", ".join(f"r.{c} AS {c}" for c in columns) + f" FROM (SELECT {key}, arg_max({{{pack}}}, {at}) AS r FROM {table_} WHERE {key} IS NOT NULL GROUP BY {key}))"
+    return f"(SELECT {key}, " + ", ".join(f"r.{c} AS {c}" for c in columns) + f" FROM (SELECT {key}, arg_max({{{pack}}}, coalesce(epoch_us({at}), -1)) AS r FROM {table_} WHERE {key} IS NOT NULL GROUP BY {key}))"
 
 
 def _inv(*columns: str) -> str:
