@@ -14,5 +14,5 @@ def test_instruction_or_answer_like_the_behaviour_notes(spark, tmp_path):
     accepted = spark.read.parquet(f"{SF}/{A.ACCEPTED}.parquet").limit(0)
     accepted.unionByName(made, allowMissingColumns=True).write.parquet(f"{tmp_path}/{A.ACCEPTED}.parquet")
     spark.createDataFrame([("e1", prompt, notes), ("e2", prompt, None), ("e3", None, "")], "id string, prompt string, expected_behavior_notes string").write.parquet(f"{tmp_path}/{A.HELDOUT}.parquet")
-    got = sorted(tuple(r) for r in A.heldout_similar(spark, str(tmp_path)).collect())
+    got = sorted((r["id"], r["eval_id"], r["score"]) for r in A.heldout_similar(spark, str(tmp_path)).collect())
     assert got == sorted([("r1", "e1", 1.0), ("r2", "e1", 1.0), ("r3", "e1", 1.0), ("r5", "e1", 1.0), ("r5", "e2", 1.0), ("r6", "e1", 1.0), ("r6", "e1", 0.45), ("r6", "e2", 0.45), ("r8", "e1", 0.6)])
