@@ -41,7 +41,7 @@ class Stage:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write `df` once and return the scan of what was written."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
