@@ -352,10 +352,14 @@ def review_queue(spark, d):
     return rows.select(F.concat_ws(":", "finding", "record_id", "related_id", "field", "reason").alias("finding_id"), *rows.columns, *blank).orderBy(F.when(F.col("priority") == "critical", 0).otherwise(1), "finding", "record_id", "related_id", "field")
 
 
+#: Paths that are let in: a folder and a pattern.
+PATH_GLOBS = ("data/incoming/", "*.txt")
+
+
 def path_profile(spark, d):
     """Suffix, language, family and path rule of each distinct source path of the inventory."""
     p = table(spark, d, INVENTORY, "source_path", "source_kind").where("source_path is not null").select("source_path", label("source_kind").alias("source_kind")).distinct()
-    return p.select("source_path", "source_kind", R.suffix("source_path").alias("suffix"), R.language_hint("source_path").alias("language_hint"), R.family_hint("source_kind", "source_path").alias("family_hint"), R.path_reason("source_path").alias("refused"), R.matches_any(F.col("source_path"), ["data/incoming/", "*.txt"]).alias("allowed"))
+    return p.select("source_path", "source_kind", R.suffix("source_path").alias("suffix"), R.language_hint("source_path").alias("language_hint"), R.family_hint("source_kind", "source_path").alias("family_hint"), R.path_reason("source_path").alias("refused"), R.matches_any(F.col("source_path"), PATH_GLOBS).alias("allowed"))
 
 
 def _latest(table_: str, key: str, at: str, columns: tuple) -> str:
@@ -425,6 +429,15 @@ _SIDE = lambda what, fields, least: f"""SELECT id, eval_id, '{what}' AS field, r
   SELECT id, eval_id, i / (n + m - i) AS score FROM i JOIN n USING (id, f) JOIN m USING (eval_id)) WHERE score >= {least} GROUP BY id, eval_id"""
 _SIMILAR = " UNION ALL ".join(_SIDE(what, fields, least) for what, least, fields in SIMILAR)
 _QUEUE = R.sql_reasons((f"full_record_tokens > {QUEUE_RECORD}", "long record"), (f"answer_tokens > {QUEUE_ANSWER}", "long answer"), (f"supervised_percentage < {QUEUE_SHARE}", "little supervision"))
+_NAME = "regexp_extract(lower(source_path), '([^/]*)/*$', 1)"
+_SUFFIX = f"CASE WHEN {_NAME} IN ('makefile', 'readme', 'license', 'copying', 'copyright') THEN {_NAME} WHEN regexp_matches({_NAME}, '^.+\\.d\\.ts$') THEN '.d.ts' ELSE regexp_extract({_NAME}, '^.+(\\.[^.]+)$', 1) END"
+_IN = lambda values: "(" + ", ".join(f"'{v}'" for v in sorted(values)) + ")"
+_FOLDERS = lambda c: f"list_filter(string_split({c}, '/'), lambda x: x <> '')"
+_BAD = f"list_filter({_FOLDERS('lower(source_path)')}, lambda x: x IN {_IN(R.PATH_PARTS)})[1]"
+_LAST = f"{_FOLDERS('lower(source_path)')}[-1]"
+_PATHS = f"""WITH p AS (SELECT DISTINCT source_path, lower(trim(source_kind)) AS source_kind FROM {INVENTORY} WHERE source_path IS NOT NULL), q AS (SELECT *, {_SUFFIX} AS suffix, {_FOLDERS('source_path')} AS parts FROM p)
+  SELECT source_path, source_kind, suffix, CASE {" ".join(f"WHEN suffix IN {_IN(ends)} THEN '{n}'" for n, ends in R.LANGUAGE_OF.items())} ELSE 'other_text' END AS language_hint, source_kind || ':' || CASE WHEN len(parts) = 0 THEN 'root' ELSE array_to_string(parts[1:least(3, greatest(1, len(parts) - 1))], '/') END AS family_hint,
+  CASE WHEN {_BAD} IS NOT NULL THEN 'path marker rejected: ' || {_BAD} WHEN {_LAST} IN {_IN(R.FILE_NAMES)} THEN 'low-value filename rejected: ' || {_LAST} END AS refused, {" OR ".join(f"regexp_matches(regexp_replace(replace(source_path, chr(92), '/'), '^/+', ''), '{R.glob_pattern(g)}')" for g in PATH_GLOBS)} AS allowed FROM q"""
 _WG = lambda c: T.sql_windows(f"string_split({T.sql_words(c)}, ' ')", 3)
 SQL = {
     "instruction_render": f"SELECT id, md5(r) AS rendered_md5, length(r) AS chars FROM (SELECT id, {_RENDER} AS r FROM {_REC})",
@@ -448,6 +461,7 @@ SQL = {
     "nearest_heldout": f"""WITH p AS (SELECT id AS eval_id, {T.sql_words(_N('prompt'))} AS v, {_WG(_N('prompt'))} AS w FROM {HELDOUT} WHERE id IS NOT NULL), a AS (SELECT id, {T.sql_words(_N('instruction'))} AS v, {_WG(_N('instruction'))} AS w FROM {_REC}), q AS (SELECT eval_id, len(w) AS m, unnest(w) AS g FROM p), r AS (SELECT id, len(w) AS n, unnest(w) AS g FROM a),
   s AS (SELECT eval_id, id, count(*) / (any_value(n) + any_value(m) - count(*)) AS score FROM r JOIN q USING (g) GROUP BY ALL), b AS (SELECT eval_id, max(score) AS score FROM s GROUP BY 1), t AS (SELECT eval_id, score, min(id) AS id FROM s JOIN b USING (eval_id, score) GROUP BY ALL) SELECT p.eval_id, t.id, round(t.score, 9) AS score, p.v IN (SELECT v FROM a) AS exact FROM p LEFT JOIN t USING (eval_id)""",
     "inventory_match": f"WITH a AS (SELECT DISTINCT id FROM {ACCEPTED} WHERE id IS NOT NULL), b AS (SELECT DISTINCT record_id AS id FROM {INVENTORY} WHERE record_id IS NOT NULL) SELECT id, 'accepted_only' AS side FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT id, 'inventory_only' FROM b WHERE id NOT IN (SELECT id FROM a)",
+    "path_profile": _PATHS,
     "review_findings": f"SELECT 'duplicate' AS finding, 'critical' AS priority, id AS record_id, class_id AS related_id, field, 1.0::DOUBLE AS score, 'equal normal form' AS reason FROM ({_CLASSES}) WHERE id <> class_id UNION ALL SELECT 'duplicate', 'review', class_a, class_b, field, score::DOUBLE, 'similar trigrams' FROM ({_pairs_sql()}) UNION ALL SELECT 'eval_leakage', CASE WHEN field = 'test_fixture_line' THEN 'review' ELSE 'critical' END, record_id, eval_id, field, 1.0, 'contained' FROM ({_CONTAINED}) WHERE field <> 'required_or_forbidden_term' UNION ALL SELECT 'eval_leakage', 'review', id, eval_id, field, score, 'similar trigrams' FROM ({_SIMILAR}) UNION ALL SELECT 'context_or_supervision', 'review', id, NULL, 'full_record_tokens', full_record_tokens::DOUBLE, why FROM (SELECT id, full_record_tokens, array_to_string({_QUEUE}, '; ') AS why FROM {_LENGTHS}) WHERE why <> \'\'",
 }
-QUERIES = {k: globals()[k] for k in SQL} | {"structure_classes": structure_classes, "review_queue": review_queue, "path_profile": path_profile}
+QUERIES = {k: globals()[k] for k in SQL} | {"structure_classes": structure_classes, "review_queue": review_queue}

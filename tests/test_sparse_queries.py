@@ -72,3 +72,9 @@ def test_band_keys_lose_no_pair(spark):
             if a[0] > b[0] and shares and ratio <= 1.35 and (x.bit_count() <= 6):
                 want.add((a[0], b[0]))
     assert got == want and len(want) > 10
+
+
+def test_paths_of_many_kinds(spark, tmp_path):
+    paths = ["src/a/b/Main.d.ts", "README", "docs/x.MD", "node_modules/x/y.js", "vendor/a.py", "package-lock.json", "a.tar.gz", ".hidden", "/data/incoming/x.jsonl", "data\\incoming\\y", "", "x/", "q.txt", "a/b/q.txt", "Makefile"]
+    put(spark, tmp_path, "phase3_5b_record_inventory", [(f"r{k}", p, "Kind ") for k, p in enumerate(paths)] + [("n", None, None), ("m", "a/b", None)], "record_id string, source_path string, source_kind string")
+    assert run(spark, "path_profile", tmp_path) == len(paths) + 1
