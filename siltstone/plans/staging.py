@@ -29,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer parts than there are cores, spread over all of them by `key` before costly work on each row; any
+    larger scan as it is, so nothing is shuffled where files are many. Rows and results are the same either way."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return df.repartition(cores, key) if few else df
+
+
 class Stage:
     """Writes DataFrames as Parquet under one fresh folder and reads them back."""
 
