@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.plans.staging import spread
+
 RUN = 5
 LEAST_RUNS, LEAST_PART = 8, 35  # runs, and per cent of the prompt's runs
 #: Words of a shard (a longer document is a shard alone); characters of the prompts of one pass, an item beyond it alone.
@@ -254,7 +256,7 @@ def _one_pass(spark: SparkSession, documents: DataFrame, items: DataFrame) -> Da
         if shard:
             yield pd.DataFrame(search_shard(prompts, shard), columns=names)
 
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, FOUND)
+    return spread(documents.where("doc_id is not null").select("doc_id", "text"), "doc_id").mapInPandas(run, FOUND)
 
 
 def leaks(spark: SparkSession, documents: DataFrame, heldout: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.tokens import PieceTrie
-from siltstone.plans.staging import Stage
+from siltstone.plans.staging import Stage, spread
 
 CAPACITY = 2048
 BUCKETS, DIMENSIONS, BITS, SEED = 1024, 3, 10, 29
@@ -90,7 +90,7 @@ def placed(documents: DataFrame) -> DataFrame:
             cells = np.array([c for _, c in got], dtype=np.int64).reshape(-1, DIMENSIONS)
             yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": np.array([n for n, _ in got], dtype=np.int64), "key": hilbert_index(cells)})
 
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, tokens long, key long")
+    return spread(documents.where("doc_id is not null").select("doc_id", "text"), "doc_id").mapInPandas(run, "doc_id long, tokens long, key long")
 
 
 class Packer:
