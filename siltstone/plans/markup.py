@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,23 +162,66 @@ def leak_free(spark, d):
     return docs(spark, d, "text").select("doc_id").join(leak_findings(spark, d).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+#: Characters of texts that are encoded at once, as encodings take about a hundred bytes a token; a longer text is encoded
+#: by itself. Sources whose sums and used tokens a task holds at once.
+AT_ONCE, HELD = 500_000, 200
+
+
+def _encoded(tokenizer, texts: list[str]) -> Iterator[tuple[str, list[int]]]:
+    """Each text with its token ids, encoded in groups of at most AT_ONCE characters."""
+    group, size = [], 0
+    for x in [*texts, None]:
+        if group and (x is None or size + len(x) > AT_ONCE):
+            yield from ((y, e.ids) for y, e in zip(group, tokenizer.encode_batch_fast(group, add_special_tokens=False)))
+            group, size = [], 0
+        if x is not None:
+            group.append(x)
+            size += len(x)
+
+
+def profiled(tokenizer, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(source, id, texts, bytes, tokens, failed) from (source, text): a row of sums with id -1 for each source, and a row of
+    zeros for each token it uses. Ids of texts are folded as they come; a source held again gives rows again."""
+    sums: dict[str | None, list[int]] = {}
+    used: dict[str | None, np.ndarray] = {}
+
+    def rows() -> Iterator[pd.DataFrame]:
+        for s, n in sums.items():
+            ids = np.flatnonzero(used[s])
+            out = pd.DataFrame(np.zeros((len(ids) + 1, 5), dtype=np.int64), columns=["id", "texts", "bytes", "tokens", "failed"])
+            out["id"], out.loc[0, ["texts", "bytes", "tokens", "failed"]] = [-1, *ids], n
+            out.insert(0, "source", pd.Series([s] * len(out), dtype=object))
+            yield out
+        sums.clear()
+        used.clear()
+
+    for b in batches:
+        for s, (x, ids) in zip(b["source"], _encoded(tokenizer, list(b["text"]))):
+            if s not in sums:
+                if len(sums) >= HELD:
+                    yield from rows()
+                sums[s], used[s] = [0, 0, 0, 0], np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+            used[s][ids] = True
+            sums[s] = [a + c for a, c in zip(sums[s], (1, len(x.encode()), len(ids), tokenizer.decode(ids, skip_special_tokens=False) != x))]
+    yield from rows()
+
+
 def bpe_profile(spark, d, path: str = TOKENIZERS, name: str = "byte_bpe_50k.json"):
-    """Per source: texts, bytes, tokens and bytes a token under a public tokenizer, tokens used, and round-trip failures."""
+    """Per source: texts, bytes, tokens and bytes a token under a public tokenizer, tokens used, and round-trip failures.
+
+    Each text is encoded once. A source without any token has no bytes a token."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(f"{path}/{name}")
         t.encode_special_tokens = True
-        for b in batches:
-            got = t.encode_batch(list(b["text"]), add_special_tokens=False)
-            yield pd.DataFrame({"source": b["source"], "bytes": [len(x.encode()) for x in b["text"]], "ids": [e.ids for e in got], "failed": [t.decode(e.ids, skip_special_tokens=False) != x for e, x in zip(got, b["text"])]})
-
-    e = docs(spark, d, "text", "source").select(label("source").alias("source"), "text").mapInPandas(run, "source string, bytes long, ids array<int>, failed boolean")
-    sums = e.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("bytes").alias("bytes"), F.sum(F.size("ids")).alias("tokens"), F.count_if("failed").alias("failures"))
-    # Distinct ids of a text leave the row, so the shuffle is by vocabulary, not by corpus length.
-    used = e.select("source", F.explode(F.array_distinct("ids")).alias("id")).groupBy("source").agg(F.countDistinct("id").alias("used_tokens"))
-    return sums.join(used, sums["source"].eqNullSafe(used["source"])).select(sums["source"], "texts", "bytes", "tokens", "failures", "used_tokens", F.round(F.col("bytes") / F.col("tokens"), 6).alias("bytes_per_token"))
+        yield from profiled(t, batches)
+
+    e = docs(spark, d, "text", "source").select(label("source").alias("source"), "text").mapInPandas(run, "source string, id long, texts long, bytes long, tokens long, failed long")
+    sums = [F.sum(c).alias(a) for c, a in (("texts", "texts"), ("bytes", "bytes"), ("tokens", "tokens"), ("failed", "failures"))]
+    r = e.groupBy("source").agg(*sums, F.countDistinct(F.when(F.col("id") >= 0, F.col("id"))).alias("used_tokens"))
+    return r.withColumn("bytes_per_token", F.round(F.try_divide("bytes", "tokens"), 6))
 
 
 def settle_owners(spark, common, links):
