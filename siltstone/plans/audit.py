@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,29 +219,39 @@ def length_outliers(spark, d, context: int = 256):
     return record_lengths(spark, d).where((F.col("full_record_tokens") > context) | (F.col("answer_tokens") > max(96, context // 2)) | (F.col("supervised_percentage") < 10)).select("id", "full_record_tokens", "answer_tokens", "supervised_percentage")
 
 
-def _folded(spark, d, field: str) -> tuple[Stage, DataFrame, DataFrame]:
-    """Stage, members (id, h) and classes (key, runs) of records by the normal form of one field."""
-    stage = Stage(spark, f"dup_{field}")
-    r = records(spark, d, *(FIELDS if field == "rendered" else (field,)))
+def _folded(stage: Stage, d, field: str) -> DataFrame:
+    """(key, id, runs): one row for each normal form of a field of the latest records, with its least id; written.
+
+    Texts are shuffled once, by normal form; ids travel with hashes only."""
+    rows = table(stage.spark, d, ACCEPTED, "id", "received_at", *(FIELDS if field == "rendered" else (field,))).where("id is not null")
     value = rendered() if field == "rendered" else _text(field)
-    rows = stage.put(r.select("id", T.normalize_text(value).alias("v"), value.alias("raw")).where("v <> ''").select("id", F.xxhash64("v").alias("h"), T.trigrams("raw").alias("runs")), "rows")
-    return stage, rows.select("id", "h"), rows.groupBy(F.col("h").alias("key")).agg(F.any_value("runs").alias("runs"))
+    rows = rows.select("id", "received_at", value.alias("raw")).withColumn("v", T.normalize_text("raw")).withColumn("h", F.when(F.col("v") != "", F.xxhash64("v")))
+    last = F.max_by(F.struct("h"), F.coalesce(F.unix_micros("received_at"), F.lit(-1)))  # as in `records`
+    first = stage.put_each([lambda: rows.groupBy("id").agg(last.alias("l")).where("l.h is not null").groupBy("l.h").agg(F.min("id").alias("id"))], f"{field}_first")
+    one = rows.where("h is not null").groupBy("h").agg(F.min("raw").alias("raw")).join(first, "h").select("id", T.trigrams("raw").alias("runs"))
+    return stage.put_each([lambda: one.withColumn("key", F.monotonically_increasing_id())], f"{field}_classes").select("key", "id", "runs")
 
 
 DUPLICATE_FIELDS = {"instruction": Fraction(1, 2), "answer": Fraction(17, 25), "rendered": Fraction(14, 25)}
 
 
 def duplicate_links(spark, d):
-    """(field, class_a, class_b, score): distinct normal forms of a field whose trigram sets are alike, by their least ids."""
-    out = None
-    for field, t in DUPLICATE_FIELDS.items():
-        stage, members, classes = _folded(spark, d, field)
-        first = members.groupBy(F.col("h")).agg(F.min("id").alias("id"))
-        s = similar_sets(stage, classes, t, field)
-        j = s.join(first.select(F.col("h").alias("a"), F.col("id").alias("x")), "a").join(first.select(F.col("h").alias("b"), F.col("id").alias("y")), "b")
+    """(field, class_a, class_b, score): distinct normal forms of a field whose trigram sets are alike, by their least ids.
+
+    The fields are done one after another, and the tables of one are gone before the next, so the disk holds one field's."""
+    found = Stage(spark, "links")
+
+    def links(field: str, t: Fraction) -> DataFrame:
+        stage = Stage(spark, f"dup_{field}")
+        classes = _folded(stage, d, field)
+        s = similar_sets(stage, classes.select("key", "runs"), t, field)
+        j = s.join(classes.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(classes.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
         one = j.select(F.lit(field).alias("field"), F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), F.round("score", 6).alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = found.put_each([lambda: one], field)
+        stage.drop_all()
+        return one
+
+    return reduce(DataFrame.unionByName, [links(field, t) for field, t in DUPLICATE_FIELDS.items()])
 
 
 def duplicate_classes(spark, d):

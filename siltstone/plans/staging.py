@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if few else df
 
 
+#: Removes a query's shuffle files when it ends, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stage:
     """Writes DataFrames as Parquet under one fresh folder and reads them back."""
 
@@ -52,8 +57,30 @@ class Stage:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def put_each(self, parts: Iterable[Callable[[], DataFrame]], name: str) -> DataFrame:
+        """The union of tables of one schema, made and written one after another; the shuffle files of each are gone
+        before the next begins."""
+        before, schema = self.spark.conf.get(CLEANUP, None), None
+        for make in parts:
+            df = make()
+            try:
+                self.spark.conf.set(CLEANUP, "true")
+                # A frame takes the setting from its session when it is planned, so it is planned anew here.
+                df.select("*").write.mode("append" if schema else "overwrite").option("compression", "zstd").parquet(self.path(name))
+            finally:
+                self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+            schema = df.schema
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
     def drop(self, name: str) -> None:
         """Delete a table that no later plan reads."""
+        self._delete(self.path(name))
+
+    def drop_all(self) -> None:
+        """Delete all tables of this stage."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
