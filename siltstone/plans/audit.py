@@ -295,6 +295,8 @@ def heldout_contained(spark, d):
     return contained(spark, texts, needles.select(F.col("id").alias("eval_id"), "field", "s")).select(F.col("key").alias("record_id"), "eval_id", "field").distinct()
 
 
+#: Trigrams of held-out items that are sent to all executors at once; more of them take more passes over the records.
+GRAMS_AT_ONCE = 500_000
 #: (held-out column, least Jaccard, record fields of which the better one counts).
 SIMILAR = (("prompt", 0.42, ("instruction",)), ("expected_behavior_notes", 0.55, ("instruction", "answer")))
 
@@ -306,12 +308,20 @@ def heldout_similar(spark, d):
     items = F.array(*[F.struct(F.lit(c).alias("what"), F.lit(least).alias("least"), F.array(*map(F.lit, fields)).alias("fields"), T.trigrams(_text(c)).alias("p")) for c, least, fields in SIMILAR])
     stage = Stage(spark, "heldout")
     q = stage.put(h.select(F.col("id").alias("eval_id"), F.explode(items).alias("x")).select("eval_id", "x.*"), "items")
+    grams = stage.put(q.select("eval_id", "what", "least", F.size("p").alias("m"), F.explode("fields").alias("field"), "p").withColumn("g", F.explode("p")).drop("p"), "grams")
+    passes = max(1, -(-grams.count() // GRAMS_AT_ONCE))
     sides = F.array(*[F.struct(F.lit(c).alias("field"), T.trigrams(_text(c)).alias("runs")) for c in ("instruction", "answer")])
-    r = stage.put(records(spark, d, "instruction", "answer").select("id", F.explode(sides).alias("x")).select("id", "x.*"), "records")
-    grams = q.select("eval_id", "what", "least", F.size("p").alias("m"), F.explode("fields").alias("field"), "p").withColumn("g", F.explode("p")).drop("p")
-    shared = r.select("id", "field", F.size("runs").alias("n"), F.explode("runs").alias("g")).join(grams, ["field", "g"]).groupBy("id", "eval_id", "what", "least", "field", "n", "m").agg(F.count(F.lit(1)).alias("i"))
+    r = records(spark, d, "instruction", "answer").select("id", F.explode(sides).alias("x")).select("id", "x.field", F.size("x.runs").alias("n"), F.explode("x.runs").alias("g"))
     score = F.col("i") / (F.col("n") + F.col("m") - F.col("i"))
-    return shared.where(score >= F.col("least")).groupBy("id", "eval_id", F.col("what").alias("field")).agg(F.max(score).alias("score")).select("id", "eval_id", "field", F.round("score", 6).alias("score"))
+
+    def met(k: int) -> DataFrame:
+        """Of the items of one part, with all their grams; only texts are shuffled, by id, where their grams are met too."""
+        part = F.broadcast(grams.where(F.pmod(F.xxhash64("eval_id"), F.lit(passes)) == k))
+        near = r.join(part, ["field", "g"]).where(F.least("n", "m") / F.greatest("n", "m") >= F.col("least"))
+        shared = near.groupBy("id", "eval_id", "what", "least", "field", "n", "m").agg(F.count(F.lit(1)).alias("i"))
+        return shared.where(score >= F.col("least")).groupBy("id", "eval_id", F.col("what").alias("field")).agg(F.max(score).alias("score"))
+
+    return stage.put_each([lambda k=k: met(k) for k in range(passes)], "met").select("id", "eval_id", "field", F.round("score", 6).alias("score"))
 
 
 def nearest_heldout(spark, d):
@@ -343,15 +353,27 @@ def review_findings(spark, d):
     left out. A class of copies points to its least id, so copies are rows, not pairs."""
     none = F.lit(None).cast("string")
     row = lambda df, finding, priority, record, related, field, score, reason: df.select(F.lit(finding).alias("finding"), F.lit(priority).alias("priority") if isinstance(priority, str) else priority.alias("priority"), F.col(record).alias("record_id"), (F.col(related) if isinstance(related, str) else related).alias("related_id"), field.alias("field"), score.cast("double").alias("score"), reason.alias("reason"))
-    same = row(duplicate_classes(spark, d).where("id <> class_id"), "duplicate", "critical", "id", "class_id", F.col("field"), F.lit(1.0), F.lit("equal normal form"))
-    near = row(duplicate_links(spark, d), "duplicate", "review", "class_a", "class_b", F.col("field"), F.col("score"), F.lit("similar trigrams"))
-    leak = heldout_contained(spark, d).where("field <> 'required_or_forbidden_term'")
-    leak = row(leak, "eval_leakage", F.when(F.col("field") == "test_fixture_line", "review").otherwise("critical"), "record_id", "eval_id", F.col("field"), F.lit(1.0), F.lit("contained"))
-    alike = row(heldout_similar(spark, d), "eval_leakage", "review", "id", "eval_id", F.col("field"), F.col("score"), F.lit("similar trigrams"))
     rules = R.reasons((F.col("full_record_tokens") > QUEUE_RECORD, "long record"), (F.col("answer_tokens") > QUEUE_ANSWER, "long answer"), (F.col("supervised_percentage") < QUEUE_SHARE, "little supervision"))
-    long = record_lengths(spark, d).select("id", "full_record_tokens", F.array_join(rules, "; ").alias("why")).where("why <> ''")
-    long = row(long, "context_or_supervision", "review", "id", none, F.lit("full_record_tokens"), F.col("full_record_tokens"), F.col("why"))
-    return same.unionByName(near).unionByName(leak).unionByName(alike).unionByName(long)
+
+    def same():
+        return row(duplicate_classes(spark, d).where("id <> class_id"), "duplicate", "critical", "id", "class_id", F.col("field"), F.lit(1.0), F.lit("equal normal form"))
+
+    def near():
+        return row(duplicate_links(spark, d), "duplicate", "review", "class_a", "class_b", F.col("field"), F.col("score"), F.lit("similar trigrams"))
+
+    def leak():
+        found = heldout_contained(spark, d).where("field <> 'required_or_forbidden_term'")
+        return row(found, "eval_leakage", F.when(F.col("field") == "test_fixture_line", "review").otherwise("critical"), "record_id", "eval_id", F.col("field"), F.lit(1.0), F.lit("contained"))
+
+    def alike():
+        return row(heldout_similar(spark, d), "eval_leakage", "review", "id", "eval_id", F.col("field"), F.col("score"), F.lit("similar trigrams"))
+
+    def long():
+        found = record_lengths(spark, d).select("id", "full_record_tokens", F.array_join(rules, "; ").alias("why")).where("why <> ''")
+        return row(found, "context_or_supervision", "review", "id", none, F.lit("full_record_tokens"), F.col("full_record_tokens"), F.col("why"))
+
+    # One kind after another, so the disk holds the shuffled texts of one.
+    return Stage(spark, "findings").put_each([same, near, leak, alike, long], "rows")
 
 
 def review_queue(spark, d):
