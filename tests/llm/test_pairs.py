@@ -138,3 +138,34 @@ def test_stops_short_and_unused():
     assert P._ungrouped("SELECT a, COUNT(*) AS n FROM t JOIN u ON t.a = u.a") and not P._ungrouped("SELECT SUM(a), COUNT(*) FROM t") and not P._ungrouped("SELECT a, COUNT(*) FROM t GROUP BY a")
     assert P._unused("def f(x):\n    y = x.get(1)") and not P._unused("def f(x):\n    y = x.get(1)\n    print(y)") and P._unused("def f(x):\n    for y in x:")
     assert P.script_of("Привет") == "cyrillic" and P.script_of("12 34") is None and P.script_of("漢字かな") == "east asian" and P.script_of("Ελλάδα") == "greek"
+
+
+def test_letter_runs_of_all_records_count(spark, records):
+    """The 240 ids of least hash know too few letter runs to tell a language; the other records know enough."""
+    ids = [r["id"] for r in spark.range(900).selectExpr("cast(id as string) as id").selectExpr("id", "xxhash64(id) as h").orderBy("h").collect()]
+    poor = ("Explain how the value is kept.", "The value is kept in the store, and the store is closed at night.", None)
+    data = [(i, None, *(poor if k < 240 else records[k % len(records)])) for k, i in enumerate(ids)]
+    data.append(("polish", None, "Explain how the function works when the list is empty.", FOREIGN[2], None))
+    got = {r["id"]: r["defect_type"] for r in P.defective_pairs(spark, rows(spark, data)).collect()}
+    assert got["polish"] == "wrong_language"
+
+
+def test_all_records_train(spark, base):
+    data = [*base, ("long", None, "Explain it.", "The valve of the harbour was closed in the winter. " * 60, None)]
+    model, _ = P.train_on(spark, rows(spark, data).repartition(3))
+    want = P.train([r[2:] for r in data])
+    assert model.known == want.known and np.allclose(model.chain.emit, want.chain.emit) and np.allclose(model.chain.move, want.chain.move)
+    weights = P.folded(P.labelled([r[2:] for r in data], P.SEED, want.known))
+    assert {(before, after) for (x, _, before, after) in weights if len(x) == P.PIECE} >= {(-1, P.ANSWER), (P.ANSWER, P.ANSWER)}
+
+
+def test_crf_weights_and_pieces():
+    """A weight is so many copies; a piece given the tags beside it has the likelihood of these tags held fast."""
+    rng = np.random.default_rng(3)
+    xs, ys = [rng.integers(0, 2, size=(n, 3)).astype(float) for n in (1, 4, 6)], [list(rng.integers(0, 2, size=n)) for n in (1, 4, 6)]
+    a, b = ChainCrf(3, 2).fit(xs, ys, weights=[3, 1, 2]), ChainCrf(3, 2).fit([xs[i] for i in (0, 0, 0, 1, 2, 2)], [ys[i] for i in (0, 0, 0, 1, 2, 2)])
+    assert all(np.allclose(getattr(a, p), getattr(b, p)) for p in ("emit", "move", "begin", "end"))
+    x = xs[1]
+    score = lambda y: a.move[1, y[0]] + a.move[y[-1], 0] + sum(x[i] @ a.emit[:, y[i]] for i in range(4)) + sum(a.move[y[i], y[i + 1]] for i in range(3))
+    _, _, z, _ = a._passes(x[None], np.ones((1, 4), dtype=bool), np.array([3]), np.array([1]), np.array([0]))
+    assert np.isclose(z[0], np.log(sum(np.exp(score(y)) for y in itertools.product((0, 1), repeat=4))))
