@@ -1,14 +1,19 @@
 """Keyword-stuffed and link-list pages.
 
 Two kinds of evidence are joined. Replication: every page is cut into phrase shingles of five words, and the distinct
-hosts that carry each phrase are counted over all pages; the share of a page's shingles that are list phrases carried by
-several hosts says how far it is stitched together from stock phrases. List density: the share of its words that stand
-in units (sentences or lines) made of links, tags, menu cells or bare keywords. A page is junk if replicated list phrases
-are most of it, or a good part of it where list units are most of it too.
-
-Spam repeats the form of its phrases with other topics ("best X discount, X, Y premium"), hardly ever the same five
-words. So phrases are compared with topic words, numbers and link targets masked, and the marks between words kept. A
-list phrase has no function word, no name of code and no sign of code in it; one function word may stand in a phrase
+hosts that carry each phrase are counted over all pages; the share of a page's shingles that are carried by several
+hosts says how far it is stitched together from stock phrases. List density: the share of its words that stand in units
+(sentences or lines) made of links, tags, menu cells or bare keywords. A page is junk if replicated phrases are a good
+part of it and list units most of it, or if replicated list phrases in masked form are most of it by themselves.
+
+Phrases are compared twice. Verbatim: the same five words, whatever they are, in lower case and without the marks between
+them. As good texts are copied too, list density has to confirm them. They are as many as the words of the corpus, so
+their hashes are written in ranges, counted one range after another; a phrase of which one host is the least and the
+greatest has one host only, and is dropped before any join.
+
+Masked: spam repeats the form of its phrases with other topics ("best X discount, X, Y premium"), hardly ever the same
+five words. So phrases are also compared with topic words, numbers and link targets masked, and the marks between words
+kept. A list phrase has no function word, no name of code and no sign of code in it; one function word may stand in a phrase
 that is cut by two line or cell ends. Masked forms are few, so the tables of forms and hosts stay small, and hosts per
 form are distinct pairs that combine before the shuffle.
 """
@@ -17,6 +22,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -31,6 +38,9 @@ SHINGLE = 5
 MOST, PART, LISTED, HOSTS = 0.5, 0.3, 0.5, 3
 #: Fewer words in list units, or in replicated list phrases, than this are no evidence.
 LEAST_WORDS = 8
+#: Hash ranges of verbatim phrases, as a power of two; each is shuffled by itself.
+RANGE_BITS = 2
+RANGES = [f"same{k}" for k in range(1 << RANGE_BITS)]
 
 #: Frequent function words of the languages met in the corpus.
 FUNCTION_WORDS = frozenset(
@@ -169,28 +179,40 @@ def _token_class(token: str) -> tuple[int, int, int]:
 
 
 class Phrases:
-    """Masked phrase shingles of texts, with remembered token classes."""
+    """Phrase shingles of texts, with remembered token classes and word hashes."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int, int]] = {}
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, 4), dtype=np.int64)
+
+    def _add(self, token: str) -> int:
+        i = len(self.known)
+        if i == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        word = int.from_bytes(blake2b(token.lower().encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+        self.table[i] = (*_token_class(token), word)
+        self.known[token] = i
+        return i
 
     def of(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
         """Number of five-word shingles of a text, the hashes of its distinct list phrases, and their places."""
+        return self.both(text)[:3]
+
+    def both(self, text: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and the hash of the verbatim phrase at each place."""
         found = _TOKEN.findall(text)
         if len(self.known) > 300_000:
             self.known.clear()
         known, codes = self.known, []
         for t in found:
             c = known.get(t)
-            if c is None:
-                c = known[t] = _token_class(t)
-            codes.append(c)
+            codes.append(self._add(t) if c is None else c)
         empty = np.zeros(0, dtype=np.int64)
-        table = np.array(codes, dtype=np.int64).reshape(-1, 3)
+        table = self.table[np.array(codes, dtype=np.int64)]
         at = np.flatnonzero(table[:, 0])
         n = len(at) - SHINGLE + 1
         if n <= 0:
-            return 0, empty, empty
+            return 0, empty, empty, empty
         word = table[at, 0]
         form = np.where(word == FIGURE, TOPIC, word)
         between = lambda v: np.diff(np.cumsum(v)[at], prepend=0)  # noqa: E731  of the marks before each word
@@ -205,10 +227,14 @@ class Phrases:
             y = (form[k : k + n] + (0 if k == 0 else marks[k : k + n] << 3)).astype(np.uint64) * f
             x ^= (y ^ (y >> np.uint64(29))) * (f | np.uint64(1))
         hashes, places = np.unique(x[listed], return_counts=True)
-        return n, (hashes ^ (hashes >> np.uint64(32))).view(np.int64), places
+        same, own = np.zeros(n, dtype=np.uint64), table[at, 3].view(np.uint64) if len(at) else empty.view(np.uint64)
+        for k, f in enumerate(_FACTORS):
+            same += own[k : k + n] * (f | np.uint64(1))
+        same ^= same >> np.uint64(32)
+        return n, (hashes ^ (hashes >> np.uint64(32))).view(np.int64), places, same.view(np.int64)
 
 
-FEATURES = "doc_id long, host string, words long, list_words long, link_words long, phrases long, forms array<long>, places array<long>"
+FEATURES = "doc_id long, host string, words long, list_words long, link_words long, phrases long, forms array<long>, places array<long>, " + ", ".join(f"{k} array<long>" for k in RANGES)
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,31 +243,47 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc_id, host, text in zip(b["doc_id"], b["host"], b["text"]):
             total, listed, links = list_units(text or "")
-            n, forms, places = phrases.of(text or "")
-            rows.append((doc_id, host, total, listed, links, n, forms, places))
-        yield pd.DataFrame(rows, columns=["doc_id", "host", "words", "list_words", "link_words", "phrases", "forms", "places"])
+            n, forms, places, same = phrases.both(text or "")
+            part = same >> (64 - RANGE_BITS) & (1 << RANGE_BITS) - 1
+            rows.append((doc_id, host, total, listed, links, n, forms, places, *(same[part == k] for k in range(1 << RANGE_BITS))))
+        yield pd.DataFrame(rows, columns=["doc_id", "host", "words", "list_words", "link_words", "phrases", "forms", "places", *RANGES])
+
+
+def _verbatim(stage: Stage, found: DataFrame, name: str) -> DataFrame:
+    """(row, n): places of each page whose verbatim phrase, of one hash range, at least HOSTS hosts carry.
+
+    Phrases of several hosts are written first, so the places are shuffled once. They are joined by sorting at any size,
+    so the cost grows evenly. Hosts, as phrases, are compared by 64-bit hashes.
+    """
+    mine = found.select("row", "site", F.explode(name).alias("form"))
+    several = stage.put_each([lambda: mine.groupBy("form").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a <> b").select("form")], f"{name}-several")
+    mine = mine.join(several.hint("merge"), "form").groupBy("form", "row", "site").agg(F.count(F.lit(1)).alias("n"))
+    carried = mine.select("form", "site").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= HOSTS).select("form")
+    return mine.join(carried, "form").groupBy("row").agg(F.sum("n").alias("n"))
 
 
 def page_evidence(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """(doc_id, words, list_words, link_words, phrases, list_phrases, replicated, junk), one row per document.
+    """(doc_id, words, list_words, link_words, phrases, list_phrases, replicated, verbatim, junk), one row per document.
 
     words: of the page; list_words, link_words: in list and in link units; phrases: its five-word shingles, one for each
     place; list_phrases: those of them that are list phrases; replicated: list phrases whose form at least HOSTS hosts
-    carry. Null and empty texts have no words and are no junk; a null host counts as one host of its own; rows of a
+    carry; verbatim: shingles of any kind whose very words at least HOSTS hosts carry. Null and empty texts have no words and are no junk; a null host counts as one host of its own; rows of a
     repeated doc_id are judged each for itself. Whole texts are read, once.
     """
     stage = Stage(spark, "junk")
     pages = documents.where("doc_id is not null").select("doc_id", F.coalesce(label("source"), F.lit("")).alias("host"), "text")
     # A written row number is stable, whatever is computed again.
-    found = stage.put(spread(pages, "doc_id").mapInPandas(_features, FEATURES).withColumn("row", F.monotonically_increasing_id()), "features")
+    found = stage.put(spread(pages, "doc_id").mapInPandas(_features, FEATURES).withColumn("row", F.monotonically_increasing_id()).withColumn("site", F.xxhash64("host")), "features")
     carried = found.select("host", F.explode("forms").alias("form")).distinct().groupBy("form").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= HOSTS).select("form")
     mine = found.select("row", F.explode(F.arrays_zip("forms", "places")).alias("x")).select("row", F.col("x.forms").alias("form"), F.col("x.places").alias("n"))
     shared = mine.join(carried, "form").groupBy("row").agg(F.sum("n").alias("replicated"))
+    verbatim = stage.put_each([partial(_verbatim, stage, found, k) for k in RANGES], "verbatim").groupBy("row").agg(F.sum("n").alias("verbatim"))
     own = F.aggregate("places", F.lit(0).cast("long"), lambda a, n: a + n)
-    rows = found.select("row", "doc_id", "words", "list_words", "link_words", "phrases", own.alias("list_phrases")).join(shared, "row", "left").drop("row").na.fill(0, ["replicated"])
-    share, density = F.coalesce(F.try_divide("replicated", "phrases"), F.lit(0.0)), F.coalesce(F.try_divide("list_words", "words"), F.lit(0.0))
-    stitched = (share > MOST) | (share > PART) & (density > LISTED)
-    return rows.withColumn("junk", (F.col("replicated") + SHINGLE - 1 >= LEAST_WORDS) & (F.col("list_words") >= LEAST_WORDS) & stitched)
+    rows = found.select("row", "doc_id", "words", "list_words", "link_words", "phrases", own.alias("list_phrases")).join(shared, "row", "left").join(verbatim, "row", "left").drop("row").na.fill(0, ["replicated", "verbatim"])
+    of = lambda part, whole: F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+    share, same, density = of("replicated", "phrases"), of("verbatim", "phrases"), of("list_words", "words")
+    stitched = (share > MOST) | (F.greatest(share, same) > PART) & (density > LISTED)
+    return rows.withColumn("junk", (F.greatest("replicated", "verbatim") + SHINGLE - 1 >= LEAST_WORDS) & (F.col("list_words") >= LEAST_WORDS) & stitched)
 
 
 def junk_pages(spark: SparkSession, documents: DataFrame) -> DataFrame:

@@ -73,3 +73,29 @@ def test_row_of_repeated_id_is_judged_for_itself(spark):
 
 def test_empty_table(spark):
     assert J.page_evidence(spark, docs(spark, [])).count() == 0
+
+
+def test_verbatim_phrases(spark):
+    """Tags with function words in them are no list phrases in masked form; the same words on three hosts are evidence,
+    for a page of list units only."""
+    tags = lambda a, b, c: f"Tags: #best of the {a} #gift for the {b} #rope on the {c} sale #stone in the {a} cheap #wool by the {b} red shop #gate at the {c} oak tall\n" * 2
+    same, words = tags("lamps", "home", "sail"), [("hats", "farm", "boat"), ("pens", "desk", "case"), ("cups", "shelf", "tray")]
+    rows = [(i, same.upper() if i else same.replace("of the", "of, the"), f"h{i}") for i in range(3)]
+    rows += [(10 + i, tags(*w), f"h{i}") for i, w in enumerate(words)]
+    rows += [(20 + i, tags("coats", "coast", "port"), f"h{i % 2}") for i in range(3)] + [(30 + i, PROSE * 3, f"h{i}") for i in range(3)]
+    e = {r["doc_id"]: r for r in J.page_evidence(spark, docs(spark, rows)).collect()}
+    assert {i for i, r in e.items() if r["junk"]} == {0, 1, 2}
+    assert all(e[i]["verbatim"] == e[i]["phrases"] > 5 * e[i]["replicated"] for i in (0, 1, 2))
+    assert all(e[30 + i]["verbatim"] == e[30 + i]["phrases"] > 0 for i in range(3))
+
+
+def test_verbatim_places_are_those_counted_one_by_one(spark):
+    rows = [(i, t, h) for i, (t, h) in enumerate([("a b c d e f g h", "x"), ("b c d e f q r s t", "y"), ("z B-C b c, d e! f", None), ("b c d e f b c d e f", "x"), ("g h i j k", "y"), ("", "x")])]
+    hosts: dict = {}
+    for _, t, h in rows:
+        w = J._TOKEN.findall(t.lower())
+        w = [x for x in w if J._token_class(x)[0]]
+        for i in range(len(w) - 4):
+            hosts.setdefault(tuple(w[i : i + 5]), set()).add(h)
+    want = {i: sum(len(hosts[tuple(w[k : k + 5])]) >= J.HOSTS for k in range(len(w) - 4)) for i, t, _ in rows for w in [[x for x in J._TOKEN.findall(t.lower()) if J._token_class(x)[0]]]}
+    assert {r["doc_id"]: r["verbatim"] for r in J.page_evidence(spark, docs(spark, rows)).collect()} == want and sum(want.values()) == 5
